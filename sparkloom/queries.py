@@ -1,0 +1,4 @@
+"""The engine's queries by name, and equivalent SQL for a check by another engine."""
+
+QUERIES: dict = {}
+SQL: dict = {}
