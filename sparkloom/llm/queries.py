@@ -1,8 +1,9 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import content_sort, mixing
+from . import content_sort, mixing, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": content_sort.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
 }
