@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import content_sort, mixing, simhash
+from . import content_sort, mixing, packing, simhash
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": content_sort.op3_exact_dedup,
+    "op4_packing": packing.op4_packing,
     "op7_mixing": mixing.op7_mixing,
 }
 
