@@ -8,9 +8,10 @@ sequence is cut into powers of two, which need no padding either.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -25,75 +26,94 @@ from .curve import hilbert_key
 
 LENGTH = 2048
 DIMS, BITS, BUCKETS = 4, 10, 256
-#: Words whose ids a task remembers; characters it splits at once.
-CACHE_WORDS, CHARS_AT_ONCE = 300_000, 6_000_000
-#: Letters whose lower case and normal form are a single letter each, so that a word of them can be taken apart.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Characters whose words a task looks up at once.
+CHARS_AT_ONCE = 12_000_000
+#: Parts of words whose ids a worker remembers; beyond, it starts anew.
+KNOWN_PARTS = 600_000
+#: Words of letters whose lower case and normal form are one letter each, then ASCII marks that start no contraction.
+_PLAIN = r"^[A-Za-zÀ-ÖØ-öø-ÿ]*[!-&(-/:-@\[-`{-~]*$"
+_PARTS = r"^(?P<letters>[a-zß-öø-ÿ]*)(?P<marks>[^a-zß-öø-ÿ]*)$"
 
 
 class WordIds:
     """Token ids of whole texts from the ids of their words.
 
-    No token of the vocabulary crosses ASCII white space, so the ids of a text are those of its words; each word is
-    encoded once. Words of plain letters are taken apart first, and their parts encoded many at a time: each part
-    ends with a token that ends a word. Other words are encoded by the tokenizer one by one.
+    No token of the vocabulary crosses ASCII white space, so the ids of a text are those of its words, and each distinct
+    word is encoded once. Plain words are letters and marks, which never share a token; such parts are encoded many at a
+    time, since each part ends with a token that ends a word. The tokenizer encodes other words one by one.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for k, i in names.items() if k.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words, self.parts = {}, {}
-        split: dict[str, list[str]] = {}
-        for word in words:
-            if _PLAIN.fullmatch(word) and "<|" not in word:
-                split[word] = _PARTS.findall(word.lower())
-            else:
-                self.words[word] = self.encoded(word).tobytes()
-        new = list({p for parts in split.values() for p in parts if p not in self.parts})
-        for i in range(0, len(new), 256):
-            some = new[i : i + 256]
-            ids = self.encoded(" ".join(some))
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                for part, x, y in zip(some, [0, *stops[:-1]], stops, strict=True):
-                    self.parts[part] = ids[x:y].tobytes()
-            else:
-                for part in some:
-                    self.parts[part] = self.encoded(part).tobytes()
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.stock, self.sizes, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([i for ids in each for i in ids], "<u4"), np.array([len(ids) for ids in each], np.int64)
+
+    def together(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of parts that the tokenizer's own splitting leaves whole."""
+        runs = [" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)]
+        got = [np.array(e.ids, "<u4") for i in range(0, len(runs), 64) for e in self.tokenizer.encode_batch_fast(runs[i : i + 64], add_special_tokens=False)]
+        ids = np.concatenate(got) if got else np.empty(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(np.r_[0, stops])) if len(stops) == len(parts) else self.one_by_one(parts)
+
+    def numbers(self, parts: list[str], how) -> np.ndarray:
+        """Where the table has each part; unknown ones are encoded and put there."""
+        if new := [p for p in parts if p not in self.number]:
+            ids, sizes = how(new)
+            for n, p in enumerate(new, len(self.number)):
+                self.number[p] = n
+            self.stock, self.sizes = np.concatenate([self.stock, ids]), np.concatenate([self.sizes, sizes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        if len(self.number) > KNOWN_PARTS:
+            self.forget()
         split = pc.ascii_split_whitespace(texts)
         own = split.flatten().dictionary_encode()
-        words = own.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.words and w]:
-            self.learn(new)
-        known = [self.words.get(w, b"") for w in words]
-        sizes = np.array([len(k) // 4 for k in known], np.int64)
-        stock = np.frombuffer(b"".join(known), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        at = own.indices.to_numpy(zero_copy_only=False)
-        each = sizes[at]
-        upto = np.cumsum(each)
-        ids = stock[np.repeat(starts[at] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        words = own.dictionary
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        parts = pc.extract_regex(pc.utf8_lower(words.filter(plain)), _PARTS)
+        # two parts for each distinct word: letters and marks, or the word and nothing
+        pair = np.zeros((len(words), 2), np.int64)
+        for i in (0, 1):
+            part = parts.field(i).dictionary_encode()
+            pair[is_plain, i] = self.numbers(part.dictionary.to_pylist(), self.together)[part.indices.to_numpy(zero_copy_only=False)]
+        pair[~is_plain, 0] = self.numbers(words.filter(pc.invert(plain)).to_pylist(), self.one_by_one)
+        stock, sizes = _gathered(self.stock, self.starts, self.sizes, pair.ravel())
+        sizes = sizes.reshape(-1, 2).sum(1)
+        ids, each = _gathered(stock, np.cumsum(sizes) - sizes, sizes, own.indices.to_numpy(zero_copy_only=False))
         edges = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))]
-        lengths = np.diff(np.r_[0, upto][edges])
-        return ids, lengths
+        return ids, np.diff(np.r_[0, np.cumsum(each)][edges])
+
+
+def _gathered(stock: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `stock` that are wanted, one after another, and their sizes."""
+    each = sizes[wanted]
+    upto = np.cumsum(each)
+    return stock[np.repeat(starts[wanted] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)], each
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks of a Python worker."""
+    return WordIds(path)
 
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -122,7 +142,7 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
     """(id, curve, n, ids): ids as little-endian unsigned 32-bit numbers, with end_id at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             for x, y in _slices(texts):
