@@ -1,11 +1,13 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import content_sort, mixing, packing, simhash
+from . import content_sort, language, mixing, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_language": language.op1_language,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": content_sort.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
 }
 
