@@ -138,8 +138,8 @@ def points(ids: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
     return np.clip((cells * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
 
-def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, seed: int) -> DataFrame:
-    """(id, curve, n, ids): ids as little-endian unsigned 32-bit numbers, with end_id at the end."""
+def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, seed: int, width: int) -> DataFrame:
+    """(id, curve, n, ids): little-endian unsigned numbers of 16 bits (32 for a large vocabulary), with end_id at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
@@ -149,8 +149,8 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_i
                 ids, lengths = words(texts.slice(x, y - x))
                 cells = points(ids, lengths, seed)
                 stops = np.cumsum(lengths)
-                ended = np.insert(ids, stops, end_id).astype("<u4")
-                edges = np.r_[0, stops + np.arange(1, len(stops) + 1)] * 4
+                ended = np.insert(ids, stops, end_id).astype(f"<u{width}")
+                edges = np.r_[0, stops + np.arange(1, len(stops) + 1)] * width
                 binary = pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(edges.astype("<i8")), pa.py_buffer(ended)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(hilbert_key(cells, BITS)), pa.array(lengths + 1), binary.cast(pa.binary())], names=["id", "curve", "n", "ids"])
 
@@ -189,7 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         raise ValueError("length is a power of two")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens = Written(tokenised(docs, tokenizer, id_col, text_col, end_id, seed))
+    width = 2 if max(len(word_ids(tokenizer).ends) - 1, end_id) < 1 << 16 else 4  # bytes of an id on the way
+    tokens = Written(tokenised(docs, tokenizer, id_col, text_col, end_id, seed, width))
     ranges = shuffle_partitions(spark)
     dealt = tokens.df.withColumn("crc", F.crc32("ids")).repartitionByRange(ranges, "curve", F.col("id"), "crc").sortWithinPartitions("curve", "id", "crc")
 
@@ -214,16 +215,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             of, parts, places, sizes, ids = ([], [], [], [], [], [], []), *(batch.column(i).to_pylist() for i in (0, 2, 3)), batch.column(4)
             for row, (part, place, size) in enumerate(zip(parts, places, sizes, strict=True)):
-                own, done = ids[row].as_buffer(), 0
+                own, done = np.frombuffer(ids[row].as_buffer(), f"<u{width}").astype("<u4"), 0
                 for number, offset, taken in pieces(bases[part] + place, size, total, length):
-                    piece = own.slice(done * 4, taken * 4)
+                    piece = own[done : done + taken].tobytes()
                     for column, value in zip(of, (row, done, taken, zlib.crc32(piece), number, offset, piece if with_ids else None), strict=True):
                         column.append(value)
                     done += taken
             rows = pa.array(of[0], pa.int64())
             out = [batch.column(1).take(rows), *(pa.array(of[i], pa.int64()) for i in (1, 2, 3)), batch.column(3).take(rows), *(pa.array(of[i], pa.int64()) for i in (4, 5))]
             if with_ids:
-                out.append(pa.array([b.to_pybytes() for b in of[6]], pa.binary()))
+                out.append(pa.array(of[6], pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(out)])
 
     return ordered.df.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
