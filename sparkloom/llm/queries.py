@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import content_sort, language, mixing, packing, simhash, toxicity
+from . import content_sort, html_text, language, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -9,6 +9,8 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
+    "op8_html": html_text.op8_html,
+    "op10_quality": quality.op10_quality,
 }
 
 SQL = {
