@@ -1,19 +1,22 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import content_sort, html_text, language, mixing, packing, quality, simhash, toxicity
+from . import chat, content_sort, html_text, language, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
     "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": content_sort.op3_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_neighbours": neighbours.op5_neighbours,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_mixing": mixing.op7_mixing,
     "op8_html": html_text.op8_html,
+    "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
 }
 
 SQL = {
     "op3_exact_dedup": content_sort.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op9_chat": chat.OP9_SQL,
 }
