@@ -234,20 +234,32 @@ def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
-    """A row for each row of `docs`: its columns but the text, fp, and component_id: the smallest identifier among all
-    rows that are reachable over fingerprints with at most `distance` differing bits, itself included.
+    """A row for each row of `docs`: its columns but the text, fp, class_fp, and component_id: the smallest identifier
+    among all rows that are reachable over fingerprints with at most `distance` differing bits, itself included.
+    class_fp is one fingerprint of the class, the same for all of it.
 
     Null and blank texts have fingerprint 0 and link like others. Rows without an identifier belong to classes but
     name none (component_id is null if no row of a class has one). An empty table gives an empty table.
     """
-    printed = Written(fingerprints(docs.drop("component_id"), text_col, width, seed)).df
+    printed = Written(fingerprints(docs.drop("component_id", "class_fp"), text_col, width, seed)).df
     nodes = Written(printed.groupBy("fp").agg(F.min(id_col).alias("least"))).df
     members = Written(components(links(nodes, distance, block))).df.withColumnRenamed("node", "fp")
     rooted = nodes.join(members, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", F.col("root").alias("class_fp"), "component_id")
     return printed.join(Written(named).df, "fp")
 
 
+def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4) -> DataFrame:
+    """Rows of `docs`, unchanged: of each class the row with the smallest identifier (null only if the class has no
+    other), and of equal identifiers the one with the smallest hash of its text. Rows alike in both are copies of one
+    another, which exact deduplication drops, and stay together."""
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keys = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), hashed.alias("_hash"))
+    classes = near_classes(keys, "_id", "_text", distance, width)
+    stay = Written(classes.groupBy("class_fp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("k")).select("k._id", "k._hash")).df
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")), "left_semi")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
