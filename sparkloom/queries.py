@@ -325,6 +325,8 @@ def keyword_postings(spark, d):
     return routing.sparse_matrix(shard_keywords(spark, d).select("shard_id", "term", "weight"))
 
 
+# questions for both rankers: every fiftieth document's first words, and its vector
+S_HQ = f"qw AS (SELECT d.doc_id AS query_id, list_slice(d.words, 1, 30) AS words FROM dw d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 50 = 0)"
 S_SPARSE = """ix AS (SELECT term, ln((1 + (SELECT count(DISTINCT shard_id) FROM kw)) / (1 + count(*))) + 1 AS idf FROM kw GROUP BY term),
 kl AS (SELECT shard_id, sqrt(sum(weight * weight)) AS l FROM kw GROUP BY shard_id),
 uq AS (SELECT query_id, term, weight * idf AS w FROM qt JOIN ix USING (term)),
@@ -403,6 +405,25 @@ def expansion_topk(spark, d):
     return expanded(spark, d).select("query_id", "term", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+S_SEL = """qv AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 50 = 0),
+sd AS (SELECT q.query_id, c.shard_id, round(list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))), 9) AS score, 'dense' AS ranker FROM qv q, cent c),
+ls AS (SELECT * FROM sd UNION ALL SELECT query_id, shard_id, round(score, 9), 'lexical' FROM sps),
+fl AS (SELECT query_id, ranker FROM ls GROUP BY ALL HAVING count(*) >= 2 AND max(score) - min(score) > 1e-12),
+ns AS (SELECT ls.*, row_number() OVER (PARTITION BY query_id, ranker ORDER BY score DESC, shard_id) AS rnk FROM ls JOIN fl USING (query_id, ranker)),
+su AS (SELECT query_id, shard_id, sum(1.0 / (60 + rnk)) AS score FROM ns WHERE rnk <= 100 GROUP BY ALL)"""
+
+
+@query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_HQ, S_QT, S_SPARSE, S_VEC, S_CENT, S_SEL) + "SELECT query_id, shard_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, shard_id::VARCHAR) AS rank FROM su")
+def shard_select_rrf(spark, d):
+    postings, idf = keyword_postings(spark, d)
+    sparse = routing.sparse_scores(postings, idf, first_words(spark, d).withColumnRenamed("weight", "n")).withColumn("ranker", F.lit("lexical"))
+    own = V.mean_vectors(vectors(spark, d), "shard_id", "v")
+    near = dense_questions(spark, d).join(F.broadcast(own.limit(10_000))).select("query_id", "shard_id", V.cosine(F.col("q"), F.col("centroid")).alias("score"), F.lit("dense").alias("ranker"))
+    lists = ranking.without_flat(sparse.unionByName(near).withColumn("score", F.round("score", 9)), ["query_id"])
+    placed = ranking.top(lists, ["query_id", "ranker"], "score", "shard_id", 100).withColumn("weight", F.lit(1.0))
+    return ranking.fused(placed, ["query_id"], "shard_id").select("query_id", "shard_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def bloom_coverage(spark, d):
     phrases = shard_keywords(spark, d).select("shard_id", F.col("term").alias("phrase"))
@@ -446,8 +467,6 @@ def bm25_with_expansion(spark, d):
     return ranking.top(got, ["query_id"], "_s", "doc_id", 10).select("query_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
 
 
-# questions for both rankers: every fiftieth document's first words, and its vector
-S_HQ = f"qw AS (SELECT d.doc_id AS query_id, list_slice(d.words, 1, 30) AS words FROM dw d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 50 = 0)"
 S_LISTS = """lx AS (SELECT query_id, shard_id, doc_id, score, 'lexical' AS ranker FROM bm WHERE query_id <> doc_id),
 both_ AS (SELECT * FROM lx UNION ALL SELECT query_id, shard_id, doc_id, score, 'dense' FROM sims)"""
 
