@@ -55,6 +55,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with as many underscores before it as no taken name needs; case does not tell names apart."""
+    lower = {t.lower() for t in taken}
+    while name in lower:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % folds == 0
 

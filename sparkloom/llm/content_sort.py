@@ -18,6 +18,8 @@ from .common import shuffle_partitions, table
 #: Rows sampled for each range, in the mean.
 SAMPLE_PER_RANGE = 40
 PREFIX = 48
+#: Names of this operator's own; columns of a table that have them are left out.
+OWN = ("_hash", "_key", "_group", "_range", "_edge", "_body", "_at", "_size", "_keep", "_h", "_sha", "_all", "_best", "_lo", "_hi", "_held")
 
 
 def _at_or_below(splitters: Column, key: Column) -> Column:
@@ -46,14 +48,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when identical; null counts as empty. keep: whether the row with the "smallest" or the "largest"
     identifier stays. Rows without an identifier stay only if no row of their group has one. Of rows repeated with
     their identifier one stays. An empty table gives an empty table. Columns of `docs` that have the names of added
-    ones are replaced; names that begin with an underscore are this operator's own.
+    ones are replaced, those with names in OWN left out.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
     ranges = partitions or shuffle_partitions(spark)
     kind = docs.schema[id_col].dataType
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
+    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256", *OWN)
     body = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn("_hash", F.xxhash64(body)).withColumn("_key", F.struct(F.substring(body, 1, PREFIX).alias("p"), F.col("_hash").alias("h"), F.col(id_col).alias("i")))
     cuts = splitters(keyed, ranges)

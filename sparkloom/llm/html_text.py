@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 #: Share of the best path's fused ratio that makes a path content, and of content text that its element holds.
 PATH_SHARE, HOLDER_SHARE = 0.12, 0.8
@@ -221,7 +221,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema]
-    return pages.select(F.col(html_col).cast("string").alias("_html"), *keep).mapInArrow(run, ", ".join([*fields, "text string, n_chars long"]))
+    return pages.select(F.col(html_col).cast("string").alias(free_name("_html", keep)), *keep).mapInArrow(run, ", ".join([*fields, "text string, n_chars long"]))
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

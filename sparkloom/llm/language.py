@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import free_name, held_out, table
 from .sampling import per_class
 
 UNKNOWN = "und"
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
     `und` with score 0. Of languages with as many letters the first by name is taken. Columns of `docs` with the
     names of added ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans", "_text")
+    docs = docs.drop("lang_pred", "score", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     schema = f"{fields}, lang_pred string, score double" + ", spans array<struct<lang:string,words:bigint>>" * spans
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *columns).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", columns)), *columns).mapInArrow(run, schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

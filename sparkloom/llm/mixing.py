@@ -18,6 +18,8 @@ from .common import Written, small_side, table, words, written
 
 #: Rows for each bucket of the histogram, in the mean.
 BUCKET_ROWS = 2_000
+#: Names of this operator's own; columns of a table that have them are left out.
+OWN = ("_u", "_m", "_none", "_source", "_certain", "_words", "_p", "_rank", "_bucket", "_cut", "_start", "_end", "_in")
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20
 
 
@@ -58,9 +60,10 @@ def mix(
 
     weight_col: relative inclusion within a source (1 if not given, or null, or not positive). A null text has size 0;
     a null source is a source. Documents of equal rank are ordered by identifier, then size; repeated rows are rows
-    of their own. An empty table gives an empty table. Columns of `docs` named like added ones are replaced.
+    of their own. An empty table gives an empty table. Columns of `docs` named like added ones are replaced,
+    those named like OWN left out.
     """
-    docs = docs.drop("size", "source_size", "target", "taken", "copies")
+    docs = docs.drop("size", "source_size", "target", "taken", "copies", *OWN)
     mark = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     carried = [c for c in docs.columns if c != text_col]
     sized = written(

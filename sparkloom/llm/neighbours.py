@@ -23,8 +23,9 @@ from .sampling import chance
 #: Vectors that the partitions are fitted on, at most (about); partitions, at most; rows for each, about.
 FIT_VECTORS, MOST_PARTS, PART_ROWS = 12_000, 256, 2_048
 NEIGHBOURS, HIDDEN, EPOCHS, ROOM = 10, 128, 40, 1.15
-#: Share of the partitions that a query visits, and the least number.
-PROBE_SHARE, LEAST_PROBES = 0.5, 4
+#: A query visits its most probable partitions until they hold this probability together, and so many at least. The
+#: network learns where a vector's neighbours are, so the probability visited is about the recall.
+PROBABILITY, LEAST_PROBES = 0.96, 4
 #: Rows and queries of one block.
 ROWS, QUERIES = 8_192, 1_024
 
@@ -43,13 +44,15 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rounds: int = 8,
     """A partition for each vertex; none holds more than ROOM times its even share."""
     part = np.zeros(len(x), np.int64)
     for _ in range(int(math.log2(parts))):  # halve every part along its principal direction
+        halves = np.zeros_like(part)
         for p in range(part.max() + 1):
             own = np.flatnonzero(part == p)
             centred = x[own] - x[own].mean(0)
             direction = np.linalg.eigh(centred.T @ centred)[1][:, -1]
             order = np.argsort(centred @ direction, kind="stable")
-            part[own] = 2 * p
-            part[own[order[len(own) // 2 :]]] = 2 * p + 1
+            halves[own] = 2 * p
+            halves[own[order[len(own) // 2 :]]] = 2 * p + 1
+        part = halves
     room = int(ROOM * len(x) / parts) + 1
     back = [[] for _ in range(len(x))]
     for v, row in enumerate(near.tolist()):
@@ -101,10 +104,13 @@ class Router:
                     w[j] = w[j] - 2e-3 * (1 - epoch / EPOCHS) * (first[j] / (1 - 0.9**step)) / (np.sqrt(second[j] / (1 - 0.999**step)) + 1e-8)
         self.w = w
 
-    def order(self, x: np.ndarray) -> np.ndarray:
-        """Partitions of each row, the most probable first."""
+    def order(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Partitions of each row, the most probable first, and their probabilities."""
         z = (x - self.mean) / self.scale
-        return np.argsort(-(np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + z @ self.w[4] + self.w[3]), axis=1, kind="stable")
+        o = np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + z @ self.w[4] + self.w[3]
+        p = np.exp(o - o.max(1, keepdims=True))
+        order = np.argsort(-o, axis=1, kind="stable")
+        return order, np.take_along_axis(p / p.sum(1, keepdims=True), order, 1)
 
 
 def fit(sample: np.ndarray, parts: int) -> Router | None:
@@ -148,7 +154,7 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & ok & F.exists(F.col(vector), lambda v: v != 0), F.lit(False))
 
 
-def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, probe_share: float = PROBE_SHARE, least_probes: int = LEAST_PROBES, part_rows: int = PART_ROWS, seed: str = "neighbours") -> DataFrame:
+def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, probability: float = PROBABILITY, least_probes: int = LEAST_PROBES, part_rows: int = PART_ROWS, seed: str = "neighbours") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k rows nearest to each query, by Euclidean distance.
 
     Takes no part: rows without an identifier, and vectors that are null, zero, hold null or non-finite components or
@@ -173,22 +179,21 @@ def search(rows: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = shared.value.order(_vectors(batch.column(1)))[:, 0] if shared.value else np.zeros(batch.num_rows, np.int64)
+                at = shared.value.order(_vectors(batch.column(1)))[0][:, 0] if shared.value else np.zeros(batch.num_rows, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(at.astype(np.int32))], names=["id", "v", "q", "part"])
 
     index = written(own.mapInArrow(place, "id long, v array<double>, q boolean, part int"))
     counts = np.zeros(parts, np.int64)
     for r in index.groupBy("part").count().collect():
         counts[r["part"]] = r["count"]
-    least = min(parts, max(least_probes, math.ceil(probe_share * parts)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = shared.value.order(_vectors(batch.column(1))) if shared.value else np.zeros((batch.num_rows, 1), np.int64)
+            order, p = shared.value.order(_vectors(batch.column(1))) if shared.value else (np.zeros((batch.num_rows, 1), np.int64), np.ones((batch.num_rows, 1)))
             held = np.cumsum(counts[order], axis=1)
-            visits = np.maximum(least, (held < 4 * k + 1).sum(1) + 1).clip(max=parts)
+            visits = np.maximum((np.cumsum(p, axis=1) < probability).sum(1) + 1, (held < 4 * k + 1).sum(1) + 1).clip(least_probes, None).clip(max=parts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([o[:n].astype(np.int32) for o, n in zip(order, visits, strict=True)], pa.list_(pa.int32()))], names=["id", "v", "parts"])
 
     asked = index.filter("q").groupBy("id").agg(F.min("v").alias("v"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, held_out, table, written
+from .common import Written, free_name, held_out, table, written
 
 WIDTH, GAMMA, RIDGE, BINS = 384, 0.06, 1e-3, 4_000
 #: Tasks that sum the normal equations; each sends WIDTH squared numbers to the driver.
@@ -57,7 +57,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([statistics(t.as_py()) for t in batch.column(0)], pa.list_(pa.float64()))], names=[*keep, "_x"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, ", ".join([*fields, "_x array<double>"]))
+    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", keep)), *keep).mapInArrow(run, ", ".join([*fields, "_x array<double>"]))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

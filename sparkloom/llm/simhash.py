@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, shuffle_partitions, table
+from .common import Written, free_name, shuffle_partitions, table
 from .components import components
 
 SHINGLES_AT_ONCE = 1 << 18
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, seed:
             yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), *batch.columns[1:]], names=["fp", *kept])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] if kept else []
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *kept).mapInArrow(run, ", ".join(["fp long", *fields]))
+    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", kept)), *kept).mapInArrow(run, ", ".join(["fp long", *fields]))
 
 
 class Ring:
@@ -257,7 +257,9 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keys = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), hashed.alias("_hash"))
     classes = near_classes(keys, "_id", "_text", distance, width)
     stay = Written(classes.groupBy("class_fp").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_hash")).alias("k")).select("k._id", "k._hash")).df
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (hashed == F.col("_hash")), "left_semi")
+    ident, own = free_name("_id", docs.columns), free_name("_hash", docs.columns)
+    stay = stay.withColumnsRenamed({"_id": ident, "_hash": own})
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(ident)) & (hashed == F.col(own)), "left_semi")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

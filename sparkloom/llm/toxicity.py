@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, held_out, table
+from .common import Written, free_name, held_out, table
 from .language import _distinct, _letters, _slices, grams
 from .sampling import per_class
 
@@ -200,7 +200,7 @@ def measured(docs: DataFrame, distance: Distance, text_col: str, keep: list[str]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "_x"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, ", ".join([*fields, "_x array<double>"]))
+    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", keep)), *keep).mapInArrow(run, ", ".join([*fields, "_x array<double>"]))
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
@@ -218,7 +218,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
             x = np.array([features(own.distance(windows(t.as_py() or ""))) for t in batch.column(0)]).reshape(batch.num_rows, 5)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(x))], names=[*keep, "score"])
 
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, ", ".join([*fields, "score double"]))
+    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", keep)), *keep).mapInArrow(run, ", ".join([*fields, "score double"]))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
