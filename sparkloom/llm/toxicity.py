@@ -28,7 +28,9 @@ from .sampling import per_class
 FIT_DOCS = 3_000
 WINDOW = 8
 LEVEL = 3
-ORDINARY_BYTES = 16_384
+#: The ordinary dictionary is trained on about so many documents of the sample, and of each on so many windows at most,
+#: spread over its whole text.
+ORDINARY_BYTES, ORDINARY_DOCS, TEXT_WINDOWS = 16_384, 1_000, 200
 GRAM_SIZES, GRAM_BUCKETS = (4, 5, 6), 1 << 22
 #: A toxic word has an n-gram in at least so many toxic documents, with these log odds of toxic against ordinary ones.
 LEAST_DOCS, LEAST_ODDS = 5, 3.5
@@ -166,9 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = _evidence(sample, found[1], found[0])
     toxic = f" {' '.join(_words(sample, wanted))} ".encode() if len(wanted) else b" "
     ordinary_rows = sample.filter("label = 0")
-    share = min(1.0, 1_000 / found[0])
-    texts = [r["text"] for r in ordinary_rows.sample(share, 5).limit(1_200).collect()]
-    pieces = [w for t in texts for w in windows((t or "")[:200_000])[:200]]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                own = windows(text or "")
+                yield pa.RecordBatch.from_arrays([pa.array(own[:: max(1, -(-len(own) // TEXT_WINDOWS))], pa.binary())], names=["w"])
+
+    drawn = ordinary_rows.sample(min(1.0, ORDINARY_DOCS / found[0]), 5).select("text").mapInArrow(spread, "w binary")
+    pieces = [r["w"] for r in drawn.orderBy("w").collect()]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, pieces, k=32, d=6).as_bytes()
     except zstandard.ZstdError:  # too little text to train on
