@@ -27,13 +27,15 @@ from .sampling import per_class
 #: Documents of each class that the model is fitted on, at most.
 FIT_DOCS = 3_000
 WINDOW = 8
-LEVEL = 3
+#: Of zstandard: tables that hold the whole dictionary, and matches of six bytes at least, since shorter ones are chance.
+SEARCH = {"window_log": 16, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 6, "strategy": zstandard.STRATEGY_LAZY}
 #: The ordinary dictionary is trained on about so many documents of the sample, and of each on so many windows at most,
 #: spread over its whole text.
 ORDINARY_BYTES, ORDINARY_DOCS, TEXT_WINDOWS = 16_384, 1_000, 200
 GRAM_SIZES, GRAM_BUCKETS = (4, 5, 6), 1 << 22
-#: A toxic word has an n-gram in at least so many toxic documents, with these log odds of toxic against ordinary ones.
-LEAST_DOCS, LEAST_ODDS = 5, 3.5
+#: A toxic word has an n-gram in at least so many toxic documents and this share of them, with these log odds of toxic
+#: against ordinary ones.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.006, 3.8
 MOST_WORDS, MOST_GRAMS, MOST_WINDOWS = 2_000, 50_000, 400
 #: Bytes by which a window must be shorter to count as toxic.
 CLEAR = 4
@@ -57,19 +59,26 @@ class Distance:
     def __call__(self, parts: list[bytes]) -> np.ndarray:
         if self.sizes is None:
             raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary + self.toxic, self.ordinary)]
-            self.sizes = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress for d in raw]
+            how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **SEARCH)
+            self.sizes = [zstandard.ZstdCompressor(compression_params=how, dict_data=d).compress for d in raw]
         near, far = self.sizes
         return np.fromiter((len(far(p)) - len(near(p)) for p in parts), np.int64, len(parts))
 
 
+#: Differences from which on windows are counted, as features.
+STEPS = (2, 3, 4, 5, 6, 8)
+FEATURES = 3 + 2 * len(STEPS)
+
+
 def features(differences: np.ndarray) -> list[float]:
-    """Largest difference, the second, clear windows and their share, and the number of windows (log)."""
+    """Largest difference, the second, the number of windows (log), and of those from each step on, the number and share
+    (logs)."""
     n = len(differences)
     if not n:
-        return [0.0, 0.0, 0.0, 0.0, 0.0]
+        return [0.0] * FEATURES
     top = np.sort(differences)[-2:]
-    clear = int((differences >= CLEAR).sum())
-    return [float(top[-1]), float(top[0]) if n > 1 else 0.0, float(np.log1p(clear)), clear / n, float(np.log1p(n))]
+    reach = (differences[:, None] >= STEPS).sum(0)
+    return [float(top[-1]), float(top[0]) if n > 1 else 0.0, float(np.log1p(n)), *np.log1p(reach).tolist(), *np.log((reach + 0.1) / n).tolist()]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +133,7 @@ def _evidence(sample: DataFrame, toxic: int, ordinary: int) -> np.ndarray:
 
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("o") + 0.5) / (ordinary + 1))
     counted = sample.select("text", "label").mapInArrow(count, "bucket long, label long").groupBy("bucket").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o"))
-    rows = counted.filter(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "bucket").limit(MOST_GRAMS)
+    rows = counted.filter(F.col("t") >= max(LEAST_DOCS, LEAST_SHARE * toxic)).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "bucket").limit(MOST_GRAMS)
     return np.sort(np.array([r["bucket"] for r in rows.select("bucket").collect()], np.int64))
 
 
@@ -160,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return float(next(iter(classes), 0))
     # at most about 2 * most rows of two numbers
     chosen = F.broadcast(per_class(own, id_col, "label", most, seed))
-    sample = Written(docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(chosen, id_col).select("text", "label")).df.repartition(spark.sparkContext.defaultParallelism)
-    sample = Written(sample).df
+    sample = Written(docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(chosen, id_col).select("text", "label").distinct()).df.repartition(spark.sparkContext.defaultParallelism)
+    sample = Written(sample).df  # copies count once
     found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(found) < 2:
         return classes[1] / sum(classes.values())
@@ -223,7 +232,7 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            x = np.array([features(own.distance(windows(t.as_py() or ""))) for t in batch.column(0)]).reshape(batch.num_rows, 5)
+            x = np.array([features(own.distance(windows(t.as_py() or ""))) for t in batch.column(0)]).reshape(batch.num_rows, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own.scores(x))], names=[*keep, "score"])
 
     return docs.select(F.col(text_col).cast("string").alias(free_name("_text", keep)), *keep).mapInArrow(run, ", ".join([*fields, "score double"]))
