@@ -346,7 +346,7 @@ def shard_sparse_cosine(spark, d):
 
 @query(with_(S_VEC, S_DENSE) + "SELECT query_id, doc_id, round(score, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM sims) WHERE rnk <= 10")
 def dense_topk(spark, d):
-    return search.dense(vectors(spark, d), dense_questions(spark, d), 10).select("query_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
+    return search.dense(vectors(spark, d), dense_questions(spark, d), 10, True).select("query_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
 
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_Q, S_QT, S_SPARSE) + """, r AS (SELECT query_id, shard_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, shard_id) AS rnk FROM sps)
@@ -478,7 +478,7 @@ def first_words(spark, d) -> DataFrame:
 
 def hybrid_lists(spark, d) -> DataFrame:
     lexical = bm25.scores(shard_tf(spark, d), first_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
-    return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d)).withColumn("ranker", F.lit("dense")))
+    return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d), among_rows=True).withColumn("ranker", F.lit("dense")))
 
 
 S_FUSE = """rk AS (SELECT *, row_number() OVER (PARTITION BY {by}, ranker ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM both_),
