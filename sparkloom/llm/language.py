@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 #: Nats that a switch of language costs; a word speaks against a language by this many nats at most.
 SWITCH, FLOOR = 6.0, 8.0
+#: A text of few n-grams may be this far off, over the square root of their number.
+BRIEF = 8.0
 #: Share of a language's letters from which on a script counts as one of its own.
 SCRIPT_SHARE = 0.01
 #: Documents of each language that the model is fitted on, at most.
@@ -124,6 +126,11 @@ class Model:
         self.languages = languages
         log = np.log((counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS))
         self.log = np.ascontiguousarray((log - log.max(0)).T.astype(np.float32))
+        self.top = log.max(0).astype(np.float32)
+        # mean and spread of the log probability of an n-gram of each language's own labelled texts
+        own = counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        self.mean = (own * log).sum(1)
+        self.spread = np.maximum(np.sqrt((own * (log - self.mean[:, None]) ** 2).sum(1)), 1e-9)
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         self.seen = (share >= SCRIPT_SHARE).T  # script x language
 
@@ -145,6 +152,17 @@ class Model:
         total -= np.log(np.exp(total).sum(1, keepdims=True))
         return np.where(known[:, None], np.maximum(total, -FLOOR), 0.0).astype(np.float32), each, known
 
+    def surprise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(by how many spreads the n-grams of each word fall below each language's mean, summed; their number)."""
+        codes, each = _letters(words)
+        if not len(codes):
+            return np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
+        buckets, of = grams(codes, each)
+        n = np.bincount(of, minlength=len(words))
+        top = np.bincount(of, self.top[buckets], minlength=len(words))
+        found = np.stack([np.bincount(of, self.log[buckets, i], minlength=len(words)) for i in range(len(self.languages))], 1)
+        return (n[:, None] * self.mean - top[:, None] - found) / self.spread, n
+
 
 def viterbi(emission: np.ndarray, lengths: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """The best label of each word. emission: rows of all texts, one after another; the texts go forward together."""
@@ -206,8 +224,10 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, most: in
     return Model(names, cells[:, :BUCKETS], cells[:, BUCKETS:])
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans: bool = False, keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans: bool = False, keep_text: bool = True, misfit: bool = False) -> DataFrame:
     """All rows of `docs` with lang_pred and score, and with `spans` an array of (lang, words) along the text.
+    With `misfit` also how far the words in known scripts are from labelled texts of the languages they were given: the
+    mean distance of their n-grams below its mean, in spreads, less BRIEF / sqrt(number of n-grams).
     Without `keep_text` the text is left out.
 
     score is the share of the text's letters that are in words of lang_pred whose script some language has; a text
@@ -215,15 +235,15 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
     `und` with score 0. Of languages with as many letters the first by name is taken. Columns of `docs` with the
     names of added ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "spans")
+    docs = docs.drop("lang_pred", "score", "spans", *["misfit"] * misfit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
-    def of_slice(texts: pa.Array) -> tuple[list, np.ndarray, list | None]:
+    def of_slice(texts: pa.Array) -> tuple[list, np.ndarray, list | None, np.ndarray]:
         model, n = shared.value, len(texts)
         if model is None:
-            return [UNKNOWN] * n, np.zeros(n), [[]] * n if spans else None
+            return [UNKNOWN] * n, np.zeros(n), [[]] * n if spans else None, np.zeros(n)
         words, at, lengths = _distinct(texts)
         emission, letters, known = model.scores(words)
         labels = viterbi(emission[at], lengths)
@@ -240,18 +260,25 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
             for x, y in zip(ends - lengths, ends, strict=True):
                 cuts = np.flatnonzero(np.r_[True, labels[x + 1 : y] != labels[x : y - 1], True]) if y > x else np.zeros(1, int)
                 parts.append([{"lang": model.languages[labels[x + a]], "words": int(b - a)} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        return names, score, parts
+        far = np.zeros(n)
+        if misfit:
+            surprise, size = model.surprise(words)
+            sizes = np.bincount(text, size[at] * known[at], minlength=n)
+            far = np.bincount(text, surprise[at, labels] * known[at], minlength=n) / np.maximum(sizes, 1)
+            far = np.where(sizes > 0, far - BRIEF / np.sqrt(np.maximum(sizes, 1)), 0.0)
+        return names, score, parts, far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
             for x, y in _slices(texts):
-                names, score, parts = of_slice(texts.slice(x, y - x))
+                names, score, parts, far = of_slice(texts.slice(x, y - x))
                 out = [*(c.slice(x, y - x) for c in batch.columns[1:]), pa.array(names, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(parts, span_type)] if spans else out, names=[*columns, "lang_pred", "score", "spans"][: len(out) + spans])
+                out += ([pa.array(parts, span_type)] if spans else []) + ([pa.array(far)] if misfit else [])
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, "lang_pred", "score", *["spans"] * spans, *["misfit"] * misfit])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    schema = f"{fields}, lang_pred string, score double" + ", spans array<struct<lang:string,words:bigint>>" * spans
+    schema = f"{fields}, lang_pred string, score double" + ", spans array<struct<lang:string,words:bigint>>" * spans + ", misfit double" * misfit
     return docs.select(F.col(text_col).cast("string").alias(free_name("_text", columns)), *columns).mapInArrow(run, schema)
 
 
