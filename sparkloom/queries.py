@@ -195,8 +195,9 @@ def merge_documents(spark, d):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, 'repeated id' AS reason FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY doc_id HAVING count(*) > 1")
 def validation_report(spark, d):
-    both = table(spark, d, "documents").select(F.col("doc_id").alias("id")).unionByName(table(spark, d, "labels").select(F.col("doc_id").alias("id")))
-    return ingest.violations(both.withColumn("title", F.lit("t")).withColumn("text", F.lit("t")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.derive_title(T.clean(F.col("text"))).alias("title"), "text")
+    marks = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("t").alias("title"), F.lit("t").alias("text"))  # labels have no text
+    return ingest.violations(docs.unionByName(marks))
 
 
 @query(with_(S_QRELS) + "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM qr)")
