@@ -7,28 +7,43 @@ from pyspark.sql import functions as F
 
 from .common import Written
 
+#: Nodes with more than this share of all rows are joined by a broadcast, so that a hub's links stay where they are.
+#: There can be at most 1 / HUB_SHARE of them, each of two numbers.
+HUB_SHARE, HUB_ROWS = 1e-4, 200
+
+
+def _with_least(rows: DataFrame, count: int) -> tuple[Written, DataFrame]:
+    """(least (a, m, n) of each a, `rows` (a, b) with m): the smallest b of a, and its number of rows."""
+    least = Written(rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+    hub = F.col("n") > max(HUB_ROWS, int(count * HUB_SHARE))
+    hubs = rows.join(F.broadcast(least.df.filter(hub).select("a", "m")), "a", "left")
+    others = hubs.filter(F.col("m").isNull()).drop("m").join(least.df.filter(~hub).select("a", "m"), "a")
+    return least, hubs.filter(F.col("m").isNotNull()).unionByName(others)
+
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of `links` (a, b: numbers); root is the smallest node reachable.
 
     Every round is written to the shared folder, and the one before is dropped. Links of a node to itself are
-    ignored; nodes without links are not returned.
+    ignored; nodes without links are not returned. The number of rounds grows with the logarithm of the longest chain:
+    `most_rounds` is beyond any that a table can hold, and reaching it is an error.
     """
     step = Written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    count, seen = step.df.count(), None
     for _ in range(most_rounds):
         both = step.df.unionByName(step.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least, joined = _with_least(both, 2 * count)
+        large = joined.filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).filter("a <> b").distinct()
         first = Written(large)
+        least.drop()
         # small stars: links already point from the larger to the smaller node
-        least = first.df.groupBy("a").agg(F.min("b").alias("m"))
-        moved = first.df.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
+        least, joined = _with_least(first.df, count)
+        moved = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.df.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
         after = Written(moved.distinct())
         state = after.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        step.drop()
-        first.drop()
-        step = after
+        for old in (step, first, least):
+            old.drop()
+        step, count = after, state[0]
         if tuple(state) == seen:
             break
         seen = tuple(state)

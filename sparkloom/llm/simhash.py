@@ -91,27 +91,29 @@ class Ring:
         return ok
 
 
-def forest(adjacent: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(root, others) of each component of a symmetric matrix."""
+def forest(adjacent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(parents, children) of a breadth-first tree of each component of a symmetric matrix: every pair is adjacent."""
     left = np.ones(len(adjacent), bool)
     for root in range(len(adjacent)):
         if left[root]:
             left[root] = False
-            front, found = np.array([root]), []
+            front, parents, found = np.array([root]), [], []
             while len(front):
-                front = np.flatnonzero(adjacent[front].any(0) & left)
-                left[front] = False
-                found.append(front)
-            if len(others := np.concatenate(found)):
-                yield root, others
+                new = np.flatnonzero(adjacent[front].any(0) & left)
+                parents.append(front[adjacent[np.ix_(front, new)].argmax(0)] if len(new) else new)
+                found.append(new)
+                left[new] = False
+                front = new
+            if len(children := np.concatenate(found)):
+                yield np.concatenate(parents), children
 
 
 def _within(ring: Ring, fps: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     adjacent = np.zeros((len(fps), len(fps)), bool)
     for i in range(0, len(fps), 256):
         adjacent[i : i + 256] = ring.linked(fps[i : i + 256, None], fps[None, :], start)
-    for root, others in forest(adjacent):
-        yield np.full(len(others), fps[root]), fps[others]
+    for parents, children in forest(adjacent):
+        yield fps[parents], fps[children]
 
 
 def _emit(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
