@@ -6,8 +6,8 @@ rounded down: l - 1. So the first segment of the chain is equal and the first tw
 meet by equality on a key of those two segments; rows of odd parity put one flipped bit into the second segment, rows
 of even parity wait there. The longer chains are checked before the full distance.
 
-Equal fingerprints are one node. Within a key, only a forest of links is emitted, not all pairs; keys with more than
-a block of fingerprints are compared block against block in tasks of their own.
+Equal fingerprints are one node. Within a key, only a forest of links is emitted, not all pairs; keyed.py says how keys
+with more than a block of fingerprints are compared.
 """
 
 from __future__ import annotations
@@ -20,14 +20,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, free_name, shuffle_partitions, table
+from .common import Written, free_name, table
 from .components import components
+from .keyed import links_within_keys
 
 SHINGLES_AT_ONCE = 1 << 18
 #: Fingerprints of one key that are compared in one piece.
 BLOCK = 4096
 
 
+def majority(hashes: Iterator[np.ndarray], n: int) -> int:
+    """The 64 bits that are set in over half of n hashes, which come in parts."""
+    counts = np.zeros(64, np.int64)
+    for part in hashes:
+        counts += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half the hashes of all word shingles; 0 for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z and ASCII white space
@@ -35,11 +44,8 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
         return 0
     hash_of = xxhash.xxh64_intdigest
     last = max(1, len(words) - width + 1)
-    counts = np.zeros(64, np.int64)
-    for start in range(0, last, SHINGLES_AT_ONCE):
-        hashes = np.array([hash_of(b" ".join(words[i : i + width]), seed) for i in range(start, min(last, start + SHINGLES_AT_ONCE))], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > last, bitorder="little").view("<u8")[0])
+    starts = range(0, last, SHINGLES_AT_ONCE)
+    return majority((np.array([hash_of(b" ".join(words[i : i + width]), seed) for i in range(s, min(last, s + SHINGLES_AT_ONCE))], np.uint64) for s in starts), last)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -91,148 +97,15 @@ class Ring:
         return ok
 
 
-def forest(adjacent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(parents, children) of a breadth-first tree of each component of a symmetric matrix: every pair is adjacent."""
-    left = np.ones(len(adjacent), bool)
-    for root in range(len(adjacent)):
-        if left[root]:
-            left[root] = False
-            front, parents, found = np.array([root]), [], []
-            while len(front):
-                new = np.flatnonzero(adjacent[front].any(0) & left)
-                parents.append(front[adjacent[np.ix_(front, new)].argmax(0)] if len(new) else new)
-                found.append(new)
-                left[new] = False
-                front = new
-            if len(children := np.concatenate(found)):
-                yield np.concatenate(parents), children
-
-
-def _within(ring: Ring, fps: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    adjacent = np.zeros((len(fps), len(fps)), bool)
-    for i in range(0, len(fps), 256):
-        adjacent[i : i + 256] = ring.linked(fps[i : i + 256, None], fps[None, :], start)
-    for parents, children in forest(adjacent):
-        yield fps[parents], fps[children]
-
-
-def _emit(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([p[0] for p in pairs]).view(np.int64)
-    b = np.concatenate([p[1] for p in pairs]).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), -1)), pa.array(np.full(len(a), -1))], names=["a", "b", "block", "blocks"])
-
-
-def _compare(ring: Ring, block: int):
-    """Over rows sorted by key: links (a, b) of keys with up to `block` fingerprints; the rows of others as
-    (key, fp, block, null), and for each of these keys (key, null, null, number of blocks)."""
-
-    def small(keys: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-        sizes = np.diff(edges)
-        for at in np.flatnonzero(sizes > 8):
-            yield from _within(ring, fps[edges[at] : edges[at + 1]], int(keys[edges[at]] >> 56))
-        few = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-        keys, fps = keys[few], fps[few]
-        for step in range(1, 8):
-            if len(keys) <= step:
-                break
-            same = np.flatnonzero(keys[step:] == keys[:-step])
-            x, y = fps[same], fps[same + step]
-            ok = ring.linked(x, y, keys[same] >> 56)
-            if ok.any():
-                yield x[ok], y[ok]
-
-    def hot(key: int, fps: np.ndarray, first: int) -> pa.RecordBatch:
-        n = len(fps)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(fps.view(np.int64)), pa.array(first // block + np.zeros(n, np.int64)), pa.nulls(n, pa.int64())], names=["a", "b", "block", "blocks"])
-
-    def end(key: int, rows: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([key]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([-(-rows // block)])], names=["a", "b", "block", "blocks"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f, key, rows = np.empty(0, np.int64), np.empty(0, np.uint64), None, 0  # key, rows: of a hot key that has begun
-        for batch in _and_end(batches):
-            done = batch is None
-            if not done:
-                held_k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-                held_f = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if key is not None:  # go on with the hot key
-                n = int(np.searchsorted(held_k, key, "right"))
-                take = n if done or n < len(held_k) else n // block * block
-                for i in range(0, take, block):
-                    yield hot(key, held_f[i : min(take, i + block)], rows + i)
-                rows += take
-                held_k, held_f = held_k[take:], held_f[take:]
-                if done or len(held_k) and held_k[0] != key:
-                    yield end(key, rows)
-                    key, rows = None, 0
-                else:
-                    continue
-            while len(held_k):
-                last = len(held_k) if done else int(np.searchsorted(held_k, held_k[-1], "left"))  # the last key may go on
-                k, f = held_k[:last], held_f[:last]
-                edges = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if last else np.zeros(1, np.int64)
-                sizes = np.diff(edges)
-                for at in np.flatnonzero(sizes > block):
-                    for i in range(edges[at], edges[at + 1], block):
-                        yield hot(int(k[edges[at]]), f[i : min(i + block, edges[at + 1])], i - edges[at])
-                    yield end(int(k[edges[at]]), int(sizes[at]))
-                fit = np.repeat(sizes <= block, sizes)
-                if pairs := list(small(k[fit], f[fit])) if fit.any() else []:
-                    yield _emit(pairs)
-                held_k, held_f = held_k[last:], held_f[last:]
-                if len(held_k) > block:
-                    key, rows = int(held_k[0]), len(held_k) // block * block
-                    for i in range(0, rows, block):
-                        yield hot(key, held_f[i : i + block], i)
-                    held_k, held_f = held_k[rows:], held_f[rows:]
-                break
-
-    return run
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def links(nodes: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """A written table of links (a, b) between distinct fingerprints `fp` that keeps every connection of the graph
-    of all pairs with at most `distance` differing bits. No task holds more than two blocks of a key."""
-    spark = nodes.sparkSession
+    """A table of links (a, b) between distinct fingerprints `fp` that keeps every connection of the graph of all pairs
+    with at most `distance` differing bits; each of its links is such a pair."""
     ring = Ring(distance)
-    parts = shuffle_partitions(spark)
-    sorted_keys = ring.keyed(nodes).repartition(parts, "key").sortWithinPartitions("key", "fp")
-    found = Written(sorted_keys.mapInArrow(_compare(ring, block), "a long, b long, block long, blocks long"))
-    hot = found.df.filter("blocks >= 0")
-    own = found.df.filter("block = -1").select("a", "b").distinct()
-    if hot.isEmpty():
-        return own
-    members = found.df.filter("block >= 0").select(F.col("a").alias("key"), F.col("b").alias("fp"), "block")
-    counts = hot.select(F.col("a").alias("key"), F.col("blocks").alias("n"))
-    paired = members.join(counts, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    paired = paired.select("key", "fp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        rows: list[np.ndarray] = []
-        for batch in _and_end(batches):
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None and batch.num_rows else None
-            cuts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0), True]) if cols else [0]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                pair = tuple(int(c[x]) for c in cols[:3])
-                if pair != held and held:
-                    if pairs := list(_within(ring, np.concatenate(rows), held[0] >> 56)):
-                        yield _emit(pairs).select(["a", "b"])
-                    rows = []
-                held = pair
-                rows.append(cols[3][x:y].view(np.uint64))
-            if batch is None and held:
-                if pairs := list(_within(ring, np.concatenate(rows), held[0] >> 56)):
-                    yield _emit(pairs).select(["a", "b"])
+    def judge(x: np.ndarray, y: np.ndarray, key: np.ndarray | int) -> np.ndarray:
+        return ring.linked(x[0].view(np.uint64), y[0].view(np.uint64), key >> 56)
 
-    across = paired.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").select("key", "i", "j", "fp").mapInArrow(run, "a long, b long")
-    return Written(own.unionByName(across).distinct()).df
+    return links_within_keys(ring.keyed(nodes).withColumnRenamed("fp", "node"), judge, block)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, width: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
