@@ -38,3 +38,22 @@ def test_no_rows(none):
 def test_no_python_in_the_plan(docs):
     plan = exact_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_of_other_columns_do_not_matter(spark):
+    names = ["doc_id", "text", "_hash", "_key", "_range", "_body", "_at", "c0", "kept"]
+    rows = [(i, t, *(f"{n}{i}" for n in names[2:])) for i, t in enumerate(["a", "b", "a", None, ""])]
+    got = exact_dedup(spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)), partitions=4).orderBy("doc_id").collect()
+    assert [r["kept"] for r in got] == [True, True, False, True, False]
+    assert all(tuple(r)[: len(names) - 1] == rows[i][:-1] for i, r in enumerate(got))
+
+
+def test_long_common_beginnings(spark):
+    """Texts that agree on more than a splitter holds, some of them with many copies."""
+    text = "concat(repeat('boilerplate ', 50), cast(if(id % 3 = 0, 7, id % 97) as string))"
+    rows = spark.range(900).selectExpr("id AS doc_id", f"{text} AS text").repartition(5)
+    groups = defaultdict(list)
+    for r in rows.collect():
+        groups[r["text"]].append(r["doc_id"])
+    for r in exact_dedup(rows, partitions=10, keep="largest").collect():
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (max(groups[r["text"]]), len(groups[r["text"]]), r["doc_id"] == max(groups[r["text"]]))
