@@ -54,3 +54,19 @@ def test_weights_change_inclusion(spark):
 
 def test_no_rows(none):
     assert mix(none).count() == 0
+
+
+def test_inclusion_is_as_designed(spark):
+    """Documents of 2 and of 200 words: a source's words come to its target, copies in proportion to 1 / (1 + binary digits)."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', if(id % 3 = 0, 200, 2)) AS text", "'s' AS source", "id AS _u", "id AS c0", "id AS _source")
+    got = mix(docs, share=0.6)
+    assert [tuple(r) for r in got.filter("_u <> doc_id OR c0 <> doc_id OR _source <> doc_id").collect()] == []
+    mean = {r["size"]: r["m"] for r in got.groupBy("size").agg({"copies": "avg"}).toDF("size", "m").collect()}
+    words, wanted = {2: 4000, 200: 200_000}, 0.6 * 204_000
+    factor = wanted / sum(n / (1 + s.bit_length()) for s, n in words.items())
+    assert mean == pytest.approx({s: factor / (1 + s.bit_length()) for s in words}, rel=0.04)
+
+
+def test_rows_without_identifier_are_not_one_block(spark):
+    docs = spark.range(2000).selectExpr("cast(null AS long) AS doc_id", "concat('word', id) AS text", "'s' AS source")
+    assert mix(docs, share=0.5).agg({"taken": "sum"}).first()[0] == 1000
