@@ -2,8 +2,9 @@
 
 A page is a sequence of blocks, each with the path of elements from the root. Text length and sentence marks are summed
 by path and divided by the number of its blocks; the ratios are smoothed along the page with a Gaussian and fused by
-multiplication, and paths above a share of the page's best are content. Content blocks name the element that holds
-most of their text, and its headings and short blocks belong to the text as well.
+multiplication, and paths above a share of the page's best are content. What an element is called (nav, class="related")
+only lowers the ratio of its paths, and not even that if it holds nearly all text or the page's article. Content blocks name
+the element that holds most of their text; its headings and short blocks belong to the text as well, those outside do not.
 """
 
 from __future__ import annotations
@@ -19,19 +20,27 @@ from pyspark.sql import functions as F
 
 from .common import free_name, table
 
-#: Share of the best path's fused ratio that makes a path content, and of content text that its element holds.
-PATH_SHARE, HOLDER_SHARE = 0.12, 0.8
+#: Share of the best path's fused ratio that makes a path content, and of content text that its element holds, or an
+#: article or main element.
+PATH_SHARE, HOLDER_SHARE, ARTICLE_SHARE = 0.12, 0.8, 0.5
 #: Weights of the Gaussian for a block and its neighbours at distances 1 and 2.
 SMOOTH = (0.5, 0.2, 0.05)
 #: A block with more than this share of its characters in links is a menu.
 LINK_SHARE = 0.6
+#: What names leave of a ratio: of an element for boilerplate, of a class or id for it, of one that has such a part. A block
+#: left with less than FLAGGED is not content.
+BY_TAG, BY_NAME, BY_PART, FLAGGED = 0.1, 0.2, 0.5, 0.3
+#: An element with this share of the page's text is not boilerplate whatever its class; nor is a form then.
+MOST_TEXT = 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/)?(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes2>[^<>]*+)(?:>|(?=<)|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp".split())
+#: Elements without text of the page.
+_RAW = frozenset("script style noscript template textarea title iframe svg object canvas xmp button select datalist audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_OUT = frozenset("nav header footer aside form button select option label fieldset dialog menu head audio video map".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_FORMS = frozenset(("form", "fieldset"))
+_WEAK = frozenset("nav header footer aside form fieldset dialog menu".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr img math mi mo mn ms mrow msup msub msubsup mfrac msqrt mroot mtext mover munder munderover mstyle mspace semantics annotation".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split())
 _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -39,48 +48,56 @@ _SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figcaption".split())
 #: Where the search for an element of the same kind to close ends.
 _SCOPE = frozenset("ul ol dl table article section div body html td th".split())
-_NEVER_OUT = frozenset("html body main article".split())
-_BOILERPLATE = frozenset(
+_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification overlay pagination paywall popup promo promoted promotion related recommended share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: In a name of two parts these say little.
+_VAGUE = frozenset("header widget widgets notice notices login paywall".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_ARTICLE = frozenset(("article", "main"))
 _MARKS = re.compile(r"[.,;:!?…。，、；：！？]")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_out(tag: str, attributes: str) -> bool:
-    if tag in _OUT:
-        return True
-    if not attributes or attributes.isspace() or tag in _NEVER_OUT:
-        return False
+def _factor(tag: str, attributes: str) -> float:
+    """What the name and attributes of an element leave of its ratio."""
+    factor = BY_TAG if tag in _WEAK else 1.0
+    if not attributes or attributes.isspace():
+        return factor
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
-            if not _BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", value)):
-                return True
+            for token in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", token) if x]
+                named = [x for x in parts if x in _NAMES]
+                if named:
+                    whole = len(named) == len(parts) or len(parts) == 2 and named[0] not in _VAGUE
+                    factor = min(factor, BY_NAME if whole else BY_PART)
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            factor = min(factor, BY_TAG)
+    return factor
 
 
 class Block:
-    __slots__ = ("text", "path", "holders", "links", "heading")
+    __slots__ = ("text", "path", "elements", "links", "heading")
 
-    def __init__(self, text: str, path: str, holders: tuple[int, ...], links: int, heading: bool):
-        self.text, self.path, self.holders, self.links, self.heading = text, path, holders, links, heading
+    def __init__(self, text: str, path: str, elements: tuple[int, ...], links: int, heading: bool):
+        self.text, self.path, self.elements, self.links, self.heading = text, path, elements, links, heading
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page that are not in menus, forms, scripts and the like, in page order.
+def blocks(page: str) -> tuple[list[Block], list[tuple[str, float]]]:
+    """The blocks of a page, in page order, and (tag, factor of its name) of its elements by number.
 
-    Character references are decoded and white space in a block is one space. br ends a block. Elements that are not
-    closed end with their parent; a new paragraph or item ends the one before.
+    Scripts, styles, controls and the like have no blocks. Character references are decoded and white space in a block is
+    one space. br ends a block. Elements that are not closed end with their parent; a new paragraph or item ends the one
+    before.
     """
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, number, whether out, step of the path
+    elements: list[tuple[str, float]] = []
+    stack: list[tuple[str, int, str]] = []  # tag, number, step of the path
     parts: list[str] = []
-    links = numbers = 0
+    links = 0
     at, in_link = 0, 0
 
     def flush() -> None:
@@ -89,13 +106,13 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 own = [s for s in stack if s[0] not in _INLINE]
-                found.append(Block(text, ">".join(s[3] for s in own), tuple(s[1] for s in own if s[0] not in _LEAVES), links, any(s[0] in _HEADINGS for s in own[-2:])))
+                found.append(Block(text, ">".join(s[2] for s in own), tuple(s[1] for s in own), links, any(s[0] in _HEADINGS for s in own[-2:])))
             parts.clear()
         links = 0
 
     def say(text: str) -> None:
         nonlocal links
-        if text and not (stack and stack[-1][2]):
+        if text and not (stack and stack[-1][0] == "head"):
             parts.append(text)
             if in_link:
                 links += len(text)
@@ -145,28 +162,39 @@ def blocks(page: str) -> list[Block]:
             if tag in ("br", "hr"):
                 flush()
             continue
+        if tag == "body":
+            close(("head",), frozenset())
         if tag in _CLOSE_P:
             close(("p",), _SCOPE)
         if tag in _SAME:
             close(_SAME[tag], frozenset(("ul", "ol", "dl", "table")))
         if tag not in _INLINE:
             flush()
-        out = bool(stack and stack[-1][2]) or _is_out(tag, attributes)
-        numbers += 1
         if attributes.rstrip().endswith("/") and tag in _INLINE:
             continue
+        factor = _factor("" if tag == "header" and any(s[0] in _ARTICLE for s in stack) else tag, attributes)  # an article has a header of its own
         named = re.search(r"""class\s*=\s*["']?([\w-]+)""", attributes) if attributes else None
-        stack.append((tag, numbers, out, f"{tag}.{named[1]}" if named else tag))
+        stack.append((tag, len(elements), f"{tag}.{named[1]}" if named else tag))
+        elements.append((tag, factor))
         in_link += tag == "a"
     flush()
-    return found
+    return found, elements
 
 
-def main_text(page: str | None) -> str:
-    """The content blocks of a page, one a line; empty for a null page or one without content."""
-    own = blocks(page or "")
-    if not own:
-        return ""
+def evidence(own: list[Block], elements: list[tuple[str, float]]) -> list[float]:
+    """What the names of a block's elements leave of its ratio."""
+    held = [0] * len(elements)
+    for b in own:
+        for e in b.elements:
+            held[e] += len(b.text)
+    total = sum(len(b.text) for b in own)
+    trusted = {e for b in own for i, e in enumerate(b.elements) if any(elements[x][0] in _ARTICLE and held[x] >= ARTICLE_SHARE * total for x in b.elements[i + 1 :])}
+    factors = [1.0 if e in trusted or held[e] >= MOST_TEXT * total and (tag not in _WEAK or tag in _FORMS) else f for e, (tag, f) in enumerate(elements)]
+    return [min((factors[e] for e in b.elements), default=1.0) for b in own]
+
+
+def ratios(own: list[Block]) -> dict[str, float]:
+    """The fused ratio of each path: mean text length and sentence marks of its blocks, smoothed along the page."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
     for b in own:
         s = sums[b.path]
@@ -184,30 +212,46 @@ def main_text(page: str | None) -> str:
     fused: dict[str, float] = defaultdict(float)
     for b, x, y, raw in zip(own, smooth(lengths), smooth(marks), lengths, strict=True):
         fused[b.path] = max(fused[b.path], (x * (1 + y)) ** 0.5 * raw**0.5)
-    best = max(fused.values())
+    return fused
+
+
+def main_text(page: str | None) -> str:
+    """The content blocks of a page, one a line; empty for a null page or one without content."""
+    own, elements = blocks(page or "")
+    if not own:
+        return ""
+    fused, left = ratios(own), evidence(own, elements)
     menu = [len(b.text) < b.links / LINK_SHARE for b in own]
-    chosen = [fused[b.path] >= PATH_SHARE * best and not m for b, m in zip(own, menu, strict=True)]
+    scores = [fused[b.path] * f for b, f in zip(own, left, strict=True)]
+    usable = [f >= FLAGGED and not m for f, m in zip(left, menu, strict=True)]
+    best = max((s for s, u in zip(scores, usable, strict=True) if u), default=0.0)
+    chosen = [u and s > 0 and s >= PATH_SHARE * best for s, u in zip(scores, usable, strict=True)]
     if not any(chosen):
         return ""
-    total = sum(len(b.text) for b, c in zip(own, chosen, strict=True) if c)
+    content = sum(len(b.text) for b, c in zip(own, chosen, strict=True) if c)
     held: dict[int, int] = defaultdict(int)
     for b, c in zip(own, chosen, strict=True):
         if c:
-            for h in b.holders:
-                held[h] += len(b.text)
+            for e in b.elements:
+                held[e] += len(b.text)
     # the innermost element that holds most of the content: elements are numbered from the root on
-    holder = max((h for h, n in held.items() if n >= HOLDER_SHARE * total), default=None)
+    article = [e for e, n in held.items() if elements[e][0] in _ARTICLE and n >= ARTICLE_SHARE * content]
+    holder = max((e for e, n in held.items() if elements[e][0] not in _LEAVES and n >= HOLDER_SHARE * content), default=None)
+    if article and (holder is None or max(article) > holder):
+        holder = max(article)
+    if holder is None:
+        return "\n".join(b.text for b, c in zip(own, chosen, strict=True) if c)
+    strict = elements[holder][0] in _ARTICLE
     for i, b in enumerate(own):
-        if holder is not None and holder in b.holders and not menu[i]:
-            chosen[i] = True
-        elif holder is not None and holder not in b.holders and not b.heading and sum(chosen) > 1 and fused[b.path] < 0.5 * best:
+        if holder in b.elements:
+            chosen[i] = usable[i]
+        elif strict or not b.heading and fused[b.path] < 0.5 * best:
             chosen[i] = False
-    if holder is not None:
-        # headings right before the element's text
-        first = next(i for i, b in enumerate(own) if holder in b.holders)
-        while first and own[first - 1].heading and not menu[first - 1]:
-            first -= 1
-            chosen[first] = True
+    # headings right before the element's text
+    first = next(i for i, b in enumerate(own) if holder in b.elements)
+    while first and own[first - 1].heading and usable[first - 1]:
+        first -= 1
+        chosen[first] = True
     return "\n".join(b.text for b, c in zip(own, chosen, strict=True) if c)
 
 

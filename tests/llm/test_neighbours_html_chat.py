@@ -1,10 +1,13 @@
 import html as escaping
 import random
+import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom.llm import html_text
 from sparkloom.llm.chat import conversations, mask, own_negatives, preference_pairs, rendered
 from sparkloom.llm.html_text import extract, main_text
 from sparkloom.llm.neighbours import balanced_parts, neighbour_graph, search
@@ -80,6 +83,48 @@ def test_plain_divisions():
     assert len(main_text("<p>" + "long text, " * 50_000 + "</p>")) == 549_999
 
 
+LONG = "This is a long paragraph, with several words and marks. It goes on, and on. " * 3
+
+
+@pytest.mark.parametrize(
+    ("body", "lines"),
+    [
+        (f"<nav><a href=1>Home</a></nav><div class='elementor-widget-container'><p>{LONG}</p><p>{LONG}</p></div><footer>(c)</footer>", [LONG, LONG]),
+        (f"<div class=c><p>{LONG}</p><p class='comment-on-law'>A shorter comment, on law.</p><p>{LONG}</p></div>", [LONG, "A shorter comment, on law.", LONG]),
+        (f"<p>Let <math><mi>x</mi></math> be, {LONG}</p>", [f"Let x be, {LONG}"]),
+        (f"<div class=post><div class='entry-header'><h1>Title</h1></div><p>{LONG}</p><p>{LONG}</p></div><div class=sidebar><p>Other, text.</p></div>", ["Title", LONG, LONG]),
+        (f"<header>Site</header><article><header><h1>Title</h1></header><p>{LONG}</p></article><footer>f</footer>", ["Title", LONG]),
+        (f"<form><div id=nav><a href=x>a</a></div><div id=c><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></form>", ["T", LONG, LONG]),
+        (f"<div id=post><h1>T</h1><p>{LONG}</p></div><div id=comments><ol><li class=comment><article class=comment-body><p>{LONG}</p></article></li></ol></div>", ["T", LONG]),
+        (f"<article><p>{LONG}</p><aside>Read, also.</aside><div class='related-posts'><p>Another post, too.</p></div><p>End.</p></article>", [LONG, "End."]),
+    ],
+)
+def test_names_are_only_evidence(body, lines):
+    assert main_text(f"<html><body>{body}</body></html>") == "\n".join(x.strip() for x in lines)
+
+
+def test_ratios_decide_without_class_names(monkeypatch):
+    """Without the list of class names the given pages keep their articles, and nothing else."""
+    monkeypatch.setattr(html_text, "_NAMES", frozenset())
+    for page_html in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall():
+        article = re.search(r"<article>(.*)</article>", page_html[0], re.S)[1]
+        wanted = [" ".join(escaping.unescape(re.sub(r"</?(?:b|i|em|strong|a|span)\b[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1|h2|br|ul|li|div|blockquote)\b[^>]*>", article)]
+        assert main_text(page_html[0]) == "\n".join(x for x in wanted if x)
+
+
+def test_ratios_against_brute_force():
+    page_html = f"<div><h1>One</h1><p>{LONG}</p><p>Two, three.</p></div><ul><li><a href=x>link text</a><li>four.</ul>"
+    own = html_text.blocks(page_html)[0]
+    of = {p: [b for b in own if b.path == p] for p in {b.path for b in own}}
+    length = [sum(len(b.text) - b.links for b in of[x.path]) / len(of[x.path]) for x in own]
+    marks = [sum(sum(c in ".,;:!?" for c in b.text) for b in of[x.path] if len(b.text) > b.links) / len(of[x.path]) for x in own]
+    got, want = html_text.ratios(own), {}
+    for i, b in enumerate(own):
+        x, y = (sum({0: 0.5, 1: 0.2, 2: 0.05}[abs(i - j)] * v[j] for j in range(len(own)) if abs(i - j) < 3) for v in (length, marks))
+        want[b.path] = max(want.get(b.path, 0), (x * (1 + y) * length[i]) ** 0.5)
+    assert dict(got) == pytest.approx(want)
+
+
 def test_extract(spark):
     rows = [(1, "u", page(["One, two."], "T"), "x", 5), (1, "u", page(["One, two."], "T"), "x", 5), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, _html int")
