@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_side, written
+
 
 def chance(id_col: str, seed: str):
     """A number in [0, 1) that depends on the identifier only."""
@@ -13,11 +15,7 @@ def chance(id_col: str, seed: str):
 
 def per_class(labelled: DataFrame, id_col: str, class_col: str, most: int, seed: str) -> DataFrame:
     """About `most` rows of each class at most, drawn by a digest of the identifier: the same rows on any partitioning.
-
-    `labelled` has the identifier and the class; there may be at most 10,000 classes.
-    """
-    counts = {r[class_col]: r["count"] for r in labelled.groupBy(class_col).count().limit(10_000).collect()}
-    share = F.lit(0.0)
-    for value, count in counts.items():
-        share = F.when(F.col(class_col) == F.lit(value), float(min(1.0, most / count))).otherwise(share)
-    return labelled.filter(chance(id_col, seed) < share)
+    Rows of a null class are left out."""
+    counts = written(labelled.filter(F.col(class_col).isNotNull()).groupBy(F.col(class_col).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
+    drawn = labelled.join(small_side(counts), F.col(class_col) == F.col("_class")).filter(chance(id_col, seed) * F.col("_n") < float(most))
+    return drawn.drop("_class", "_n")

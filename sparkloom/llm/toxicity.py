@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, and the same content followed by what is peculiar to toxic
-text, so that both treat ordinary words alike. A window of a few words that is shorter under the second is closer to
-toxic text. A document's largest differences, and the number of its windows, are calibrated to a probability.
-
-Labels mark documents, few windows of which are toxic. So letter n-grams that occur in many more toxic documents than
-ordinary ones pick the words that train the toxic dictionary, and ordinary windows that it shortens are added to the
-ordinary part.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on toxic text. A window of a few words is
+compressed with the ordinary dictionary alone, and with the toxic one behind it, so that ordinary words cost the same in
+both; what the second saves is the window's distance from ordinary text. A document's largest savings, and the number of its
+windows, are calibrated to a probability.
+
+Labels mark documents, few words of which are toxic. So letter n-grams that occur in many more toxic documents than ordinary
+ones pick the words whose surroundings train the toxic dictionary, and ordinary windows that it shortens go on the ordinary
+one. All draws go by digests and all sums are of whole numbers, so the same rows give the same model on any cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +22,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, free_name, held_out, table
+from .common import Written, free_name, held_out, shuffle_partitions, small_side, table
 from .language import _distinct, _letters, _slices, grams
-from .sampling import per_class
+from .sampling import chance, per_class
 
-#: Documents of each class that the model is fitted on, at most.
-FIT_DOCS = 3_000
+#: The fit is on a bounded sample: documents of each class, at most; of them ordinary documents that train the dictionary,
+#: and windows of each at most, spread over its whole text; pieces that train the toxic dictionary, n-grams that pick them,
+#: and windows that go on the ordinary one, at most.
+FIT_DOCS, ORDINARY_DOCS, TEXT_WINDOWS, TOXIC_PIECES, MOST_GRAMS, MOST_WINDOWS = 3_000, 1_000, 200, 40_000, 50_000, 400
 WINDOW = 8
 #: Of zstandard: tables that hold the whole dictionary, and matches of six bytes at least, since shorter ones are chance.
 SEARCH = {"window_log": 16, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 6, "strategy": zstandard.STRATEGY_LAZY}
-#: The ordinary dictionary is trained on about so many documents of the sample, and of each on so many windows at most,
-#: spread over its whole text.
-ORDINARY_BYTES, ORDINARY_DOCS, TEXT_WINDOWS = 16_384, 1_000, 200
+#: Bytes of the dictionaries; segments and matches of the trainer.
+ORDINARY_BYTES, TOXIC_BYTES, SEGMENT, MATCH = 16_384, 8_192, 16, 6
 GRAM_SIZES, GRAM_BUCKETS = (4, 5, 6), 1 << 22
 #: A toxic word has an n-gram in at least so many toxic documents and this share of them, with these log odds of toxic
 #: against ordinary ones.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.006, 3.8
-MOST_WORDS, MOST_GRAMS, MOST_WINDOWS = 2_000, 50_000, 400
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.006, 3.0
 #: Bytes by which a window must be shorter to count as toxic.
 CLEAR = 4
 
@@ -137,59 +139,69 @@ def _evidence(sample: DataFrame, toxic: int, ordinary: int) -> np.ndarray:
     return np.sort(np.array([r["bucket"] for r in rows.select("bucket").collect()], np.int64))
 
 
-def _words(sample: DataFrame, wanted: np.ndarray) -> list[str]:
-    """Words of toxic documents that have such an n-gram, the most frequent last."""
+def toxic_pieces(texts: pa.Array, wanted: np.ndarray) -> list[bytes]:
+    """Words of the texts that have a wanted n-gram, in lower case between spaces, as often as they occur."""
+    words, at, _ = _distinct(texts)
+    codes, each = _letters(words)
+    if not len(codes):
+        return []
+    buckets, of = grams(codes, each, GRAM_SIZES, GRAM_BUCKETS)
+    some = np.zeros(len(words), bool)
+    some[of[np.isin(buckets, wanted)]] = True
+    named = [f" {''.join(c for c in w if c.isalpha())} ".encode("utf-8", "surrogatepass") if s else b"" for w, s in zip(words, some, strict=True)]
+    return [named[i] for i in at[some[at]]]
+
+
+def trained(pieces: list[bytes], size: int) -> bytes:
+    """A dictionary of pieces in the given order; their end if they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, pieces, k=SEGMENT, d=MATCH).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(pieces)[-size:]
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pieces(rows: DataFrame, of_texts, most: int) -> list[bytes]:
+    """of_texts(texts) over all rows: equal ones are counted first; about `most` different ones drawn by digest, in order,
+    each as often as it occurs, by up to `most` in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = pc.fill_null(batch.column(0), "")
             for x, y in _slices(texts):
-                words, at, _ = _distinct(texts.slice(x, y - x))
-                codes, each = _letters(words)
-                if not len(codes):
-                    continue
-                buckets, of = grams(codes, each, GRAM_SIZES, GRAM_BUCKETS)
-                some = np.unique(of[np.isin(buckets, wanted)])
-                times = np.bincount(at, minlength=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(["".join(c for c in words[w] if c.isalpha()) for w in some], pa.string()), pa.array(times[some].astype(np.int64))], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(of_texts(texts.slice(x, y - x)), pa.binary())], names=["w"])
 
-    rows = sample.filter("label = 1").select("text").mapInArrow(pick, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(MOST_WORDS).collect()
-    return [r["word"] for r in reversed(rows)]
+    counted = rows.select("text").mapInArrow(run, "w binary").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    found = [(bytes(r["w"]), r["n"]) for r in counted.orderBy(F.md5("w"), "w").limit(most).collect()]
+    share = min(1.0, most / max(1, sum(n for _, n in found)))
+    # mixed: the trainer goes on from part to part until it finds nothing new in a few of them
+    mixed = sorted((blake2b(w + i.to_bytes(4, "little"), digest_size=8).digest(), w) for w, n in found for i in range(max(1, int(n * share))))
+    return [w for _, w in mixed]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = FIT_DOCS, seed: str = "toxicity") -> Model | float:
     """From about `most` labelled documents of each class at most; the share of toxic labels if a class has none.
 
-    The sample is written once. The driver gets identifiers, words, windows and features of the sample only.
+    The sample is written once, and copies in it count once. The driver gets pieces, windows and features of it only.
     """
-    spark = docs.sparkSession
     own = labels.filter(F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("long").alias("label"))
     classes = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     if len(classes) < 2:
         return float(next(iter(classes), 0))
-    # at most about 2 * most rows of two numbers
-    chosen = F.broadcast(per_class(own, id_col, "label", most, seed))
-    sample = Written(docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(chosen, id_col).select("text", "label").distinct()).df.repartition(spark.sparkContext.defaultParallelism)
-    sample = Written(sample).df  # copies count once
+    chosen = small_side(Written(per_class(own, id_col, "label", most, seed)).df)
+    once = docs.select(id_col, F.col(text_col).cast("string").alias("text")).join(chosen, id_col).groupBy("text", "label").agg(F.min(id_col).alias("_id"))
+    sample = Written(once.repartition(shuffle_partitions(docs.sparkSession), "_id")).df
     found = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     if len(found) < 2:
         return classes[1] / sum(classes.values())
     wanted = _evidence(sample, found[1], found[0])
-    toxic = f" {' '.join(_words(sample, wanted))} ".encode() if len(wanted) else b" "
+    toxic = trained(_pieces(sample.filter("label = 1"), lambda texts: toxic_pieces(texts, wanted), TOXIC_PIECES), TOXIC_BYTES) if len(wanted) else b" "
     ordinary_rows = sample.filter("label = 0")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = windows(text or "")
-                yield pa.RecordBatch.from_arrays([pa.array(own[:: max(1, -(-len(own) // TEXT_WINDOWS))], pa.binary())], names=["w"])
+    def spread(texts: pa.Array) -> list[bytes]:
+        return [w for own in map(windows, texts.to_pylist()) for w in own[:: max(1, -(-len(own) // TEXT_WINDOWS))]]
 
-    drawn = ordinary_rows.sample(min(1.0, ORDINARY_DOCS / found[0]), 5).select("text").mapInArrow(spread, "w binary")
-    pieces = [r["w"] for r in drawn.orderBy("w").collect()]
-    try:
-        ordinary = zstandard.train_dictionary(ORDINARY_BYTES, pieces, k=32, d=6).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        ordinary = b" ".join(pieces)[-ORDINARY_BYTES:]
+    drawn = ordinary_rows.filter(chance("_id", f"{seed}-ordinary") * found[0] < float(ORDINARY_DOCS))
+    ordinary = trained(_pieces(drawn, spread, ORDINARY_DOCS * TEXT_WINDOWS), ORDINARY_BYTES)
     first = Distance(ordinary, toxic)
 
     def shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,9 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([parts[i] for i in some], pa.binary()), pa.array(got[some])], names=["w", "d"])
 
     hard = ordinary_rows.select("text").mapInArrow(shortened, "w binary, d long").groupBy("w").agg(F.max("d").alias("d")).orderBy(F.col("d").desc(), "w").limit(MOST_WINDOWS).collect()
-    distance = Distance(ordinary + b"".join(r["w"] for r in hard), toxic)
-    rows = measured(sample, distance, "text", ["label"]).collect()
-    x, y = np.array([r["_x"] for r in rows]), np.array([r["label"] for r in rows])
+    distance = Distance(ordinary + b"".join(bytes(r["w"]) for r in hard), toxic)
+    rows = sorted((r["label"], r["_x"]) for r in measured(sample, distance, "text", ["label"]).collect())
+    x, y = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
     weight = np.where(y == 1, classes[1] / found[1], classes[0] / found[0])
     return Model(distance, logistic(_expand(x), y, weight))
 

@@ -84,6 +84,34 @@ def test_toxicity(marked):
     assert right >= 0.9 * len(held)
 
 
+def test_toxicity_does_not_depend_on_partitions(spark, marked):
+    docs, labels = marked
+    got = []
+    for n, parts in ((1, 2), (7, 5)):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            model = toxicity.fit(docs.repartition(n), labels.repartition(n), most=150)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        got.append({r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()})
+    assert got[0] == got[1]
+
+
+def test_trained_dictionary_holds_what_is_frequent():
+    r = random.Random(4)
+    words = [f" {r.choice(['vilefolk', 'scumbag', 'rottenhead'])}{prose('en', 1, i)[:3]} ".encode() for i in range(3000)]
+    made = toxicity.trained(words, 4096)
+    assert all(w.encode() in made for w in ("vilefolk", "scumbag", "rottenhead")) and len(made) <= 4096
+    assert toxicity.trained([], 4096) == b"" and toxicity.trained([b"few"], 4096) == b"few"
+
+
+def test_compression_saves_what_the_dictionary_adds():
+    distance = toxicity.Distance(b" ordinary words of a text " * 20, b" vilefolk scumbag rottenhead ")
+    got = distance([b" ordinary words vilefolk of a text ", b" ordinary words of a text "])
+    assert got[0] >= 4 > got[1]
+
+
 def test_quality(marked):
     docs, labels = marked
     got = {r["doc_id"]: r["score"] for r in quality.classify(docs, labels.filter(~held_out())).collect()}
