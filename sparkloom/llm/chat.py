@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 LEARNED = "assistant"
@@ -20,10 +20,11 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """(id, turns): an array of (role, text) in order of turn; a null role is "user" and a null text empty.
 
     Turns of equal number are ordered by role, then text; null numbers come first. A conversation is one value, which
-    a task holds as a whole; rows without an identifier are one conversation.
+    a task holds as a whole; rows without an identifier are conversations of one turn each.
     """
     one = F.struct(F.col(turn_col).alias("n"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return turns.groupBy(F.col(id_col).alias("id")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    return turns.groupBy(F.col(id_col).alias("id"), alone.alias("alone")).agg(F.transform(F.sort_array(F.collect_list(one)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).drop("alone")
 
 
 def rendered(turns: Column) -> Column:
@@ -31,7 +32,8 @@ def rendered(turns: Column) -> Column:
 
 
 def mask(turns: Column) -> Column:
-    """Array of (start, end) of the learned characters of rendered(turns)."""
+    """Array of (start, end) of the learned characters of rendered(turns). The work grows with the square of the number of
+    turns, each of which is three numbers here."""
 
     def span(t: Column, upto: Column) -> Column:
         head = F.length(t["role"]) + len(OPEN) + len(MIDDLE)
@@ -69,13 +71,14 @@ def own_negatives(convs: DataFrame) -> DataFrame:
     A conversation without answers is its own pair; so is one of a single turn."""
     answers = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at(F.col("turns"), i)["role"] == LEARNED)
     last = F.coalesce(F.array_max(answers), F.size("turns"))
-    cut = convs.withColumn("_last", last).withColumn("chosen", F.slice("turns", F.lit(1), F.col("_last")))
+    place = free_name("_last", convs.columns)
+    cut = convs.withColumn(place, last).withColumn("chosen", F.slice("turns", F.lit(1), F.col(place)))
     final = F.element_at(F.col("chosen"), -1)
-    before = F.slice("chosen", F.lit(1), F.col("_last") - 1)
+    before = F.slice("chosen", F.lit(1), F.col(place) - 1)
     earlier = F.filter(before, lambda t: (t["role"] == LEARNED) & (t["text"] != final["text"]))
     other = F.coalesce(F.try_element_at(earlier, F.lit(-1))["text"], F.try_element_at(before, F.lit(-1))["text"])
     swapped = F.concat(before, F.array(F.struct(final["role"].alias("role"), F.coalesce(other, final["text"]).alias("text"))))
-    return cut.withColumn("rejected", F.when(final["role"] == LEARNED, swapped).otherwise(F.col("chosen"))).drop("_last", "turns")
+    return cut.withColumn("rejected", F.when(final["role"] == LEARNED, swapped).otherwise(F.col("chosen"))).drop(place, "turns")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,26 +91,27 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH t AS (
-  SELECT conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS i
-  FROM conversations),
-ends AS (SELECT conv_id, coalesce(max(i) FILTER (WHERE role = 'assistant'), max(i)) AS last, bool_or(role = 'assistant') AS answered FROM t GROUP BY conv_id),
-cut AS (SELECT t.*, e.last, e.answered FROM t JOIN ends e ON t.conv_id IS NOT DISTINCT FROM e.conv_id WHERE i <= last),
-final AS (SELECT conv_id, role, text, last, answered FROM cut WHERE i = last),
+WITH c AS MATERIALIZED (SELECT *, coalesce(conv_id::VARCHAR, 'null ' || row_number() OVER ()) AS cid FROM conversations),
+t AS (
+  SELECT cid, conv_id, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, coalesce(role, 'user'), coalesce(text, '')) AS i
+  FROM c),
+ends AS (SELECT cid, coalesce(max(i) FILTER (WHERE role = 'assistant'), max(i)) AS last, bool_or(role = 'assistant') AS answered FROM t GROUP BY cid),
+cut AS (SELECT t.*, e.last, e.answered FROM t JOIN ends e ON t.cid = e.cid WHERE i <= last),
+final AS (SELECT cid, conv_id, role, text, last, answered FROM cut WHERE i = last),
 other AS (
-  SELECT c.conv_id, arg_max(c.text, c.i) FILTER (WHERE c.role = 'assistant' AND c.text <> f.text) AS earlier, arg_max(c.text, c.i) AS before
-  FROM cut c JOIN final f ON c.conv_id IS NOT DISTINCT FROM f.conv_id WHERE c.i < c.last GROUP BY c.conv_id),
+  SELECT c.cid, arg_max(c.text, c.i) FILTER (WHERE c.role = 'assistant' AND c.text <> f.text) AS earlier, arg_max(c.text, c.i) AS before
+  FROM cut c JOIN final f ON c.cid = f.cid WHERE c.i < c.last GROUP BY c.cid),
 ends2 AS (
-  SELECT f.conv_id, f.role, f.text, f.last, CASE WHEN f.answered THEN coalesce(o.earlier, o.before, f.text) ELSE f.text END AS rejected
-  FROM final f LEFT JOIN other o ON f.conv_id IS NOT DISTINCT FROM o.conv_id),
+  SELECT f.cid, f.conv_id, f.role, f.text, f.last, CASE WHEN f.answered THEN coalesce(o.earlier, o.before, f.text) ELSE f.text END AS rejected
+  FROM final f LEFT JOIN other o ON f.cid = o.cid),
 prompts AS (
-  SELECT c.conv_id, coalesce(string_agg('<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10), '' ORDER BY c.i) FILTER (WHERE c.i < e.last OR e.text = e.rejected), '') AS prompt
-  FROM cut c JOIN ends2 e ON c.conv_id IS NOT DISTINCT FROM e.conv_id GROUP BY c.conv_id)
+  SELECT c.cid, coalesce(string_agg('<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10), '' ORDER BY c.i) FILTER (WHERE c.i < e.last OR e.text = e.rejected), '') AS prompt
+  FROM cut c JOIN ends2 e ON c.cid = e.cid GROUP BY c.cid)
 SELECT e.conv_id, (CASE WHEN e.text = e.rejected THEN e.last ELSE e.last - 1 END)::INTEGER AS prefix_turns, length(prompt)::BIGINT AS prompt_chars, sha256(prompt) AS prompt_sha256,
        sha256(CASE WHEN e.text = e.rejected THEN '' ELSE '<|' || e.role || '|>' || chr(10) || e.text || '<|end|>' || chr(10) END) AS chosen_sha256,
        sha256(CASE WHEN e.text = e.rejected THEN '' ELSE '<|' || e.role || '|>' || chr(10) || e.rejected || '<|end|>' || chr(10) END) AS rejected_sha256,
        CASE WHEN e.text = e.rejected THEN 0 ELSE length(e.text) + 8 END::BIGINT AS chosen_masked,
        CASE WHEN e.text = e.rejected THEN 0 ELSE length(e.rejected) + 8 END::BIGINT AS rejected_masked
-FROM ends2 e JOIN prompts p ON e.conv_id IS NOT DISTINCT FROM p.conv_id
+FROM ends2 e JOIN prompts p ON e.cid = p.cid
 """

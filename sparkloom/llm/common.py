@@ -21,11 +21,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for steps; a temporary one only where the session names none."""
+    """The cluster's shared folder for steps; a temporary one only where a local session names none."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     context = spark.sparkContext
     if not (folder := context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparkloom-')}")
         folder = context.getCheckpointDir()
     return folder
@@ -64,7 +66,12 @@ def free_name(name: str, taken: list[str]) -> str:
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % folds == 0
+    """Whether a row is held out; one without an identifier is not, nor is it learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
+
+
+def learned(doc_id: str = "doc_id", folds: int = 5) -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % folds != 0
 
 
 def words(text: str) -> Column:

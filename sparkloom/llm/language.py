@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, held_out, table
+from .common import free_name, held_out, learned, table
 from .sampling import per_class
 
 UNKNOWN = "und"
@@ -63,14 +63,15 @@ SCRIPTS = [
 
 
 @cache
-def _code_points() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point whether it is a letter (or a mark on one), and the number of its script."""
-    letter = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+def _code_points() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point whether it is a letter or a mark on one, the number of its script, and whether it is a letter."""
+    kinds = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
+    letter, strict = np.array([k in "LM" for k in kinds]), np.array([k == "L" for k in kinds])
     script = np.zeros(0x110000, np.uint8)
     for number, (_, ranges) in enumerate(SCRIPTS, 1):
         for first, last in ranges:
             script[first : last + 1] = number
-    return letter, script
+    return letter, script, strict
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +136,11 @@ class Model:
         self.seen = (share >= SCRIPT_SHARE).T  # script x language
 
     def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(log posterior of each word and language, its number of letters, whether any language has its script)."""
+        """(log posterior of each word and language, its number of letters, whether any language has its script).
+
+        Marks count in n-grams only: a word of nothing else has no letters. A word's script is that of its first letter."""
         codes, each = _letters(words)
+        letters = np.bincount(np.repeat(np.arange(len(words)), each), _code_points()[2][codes], len(words)).astype(np.int64)
         total = np.zeros((len(words), len(self.languages)), np.float64)
         script = np.zeros(len(words), np.int64)
         if len(codes):
@@ -146,11 +150,11 @@ class Model:
             has = np.flatnonzero(each)
             script[has] = _code_points()[1][codes[np.cumsum(each[has]) - each[has]]]
         allowed = self.seen[script]
-        known = allowed.any(1) & (each > 0)
+        known = allowed.any(1) & (letters > 0)
         total = np.where(allowed, total, -1e9)
         total -= total.max(1, keepdims=True)
         total -= np.log(np.exp(total).sum(1, keepdims=True))
-        return np.where(known[:, None], np.maximum(total, -FLOOR), 0.0).astype(np.float32), each, known
+        return np.where(known[:, None], np.maximum(total, -FLOOR), 0.0).astype(np.float32), letters, known
 
     def surprise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(by how many spreads the n-grams of each word fall below each language's mean, summed; their number)."""
@@ -232,8 +236,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
 
     score is the share of the text's letters that are in words of lang_pred whose script some language has; a text
     in unknown scripts has score 0. Null texts, texts without letters, and all texts if nothing was learned, are
-    `und` with score 0. Of languages with as many letters the first by name is taken. Columns of `docs` with the
-    names of added ones are replaced.
+    `und` with score 0. Of languages with as many letters the first by name is taken. A run without white space, also of
+    a script that has none, is one word, and its script is that of its first letter. Very long texts are labelled whole.
+    Columns of `docs` with the names of added ones are replaced.
     """
     docs = docs.drop("lang_pred", "score", "spans", *["misfit"] * misfit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -284,5 +289,5 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
+    model = fit(docs.filter(learned()), "doc_id", "text", "lang")
     return identify(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -120,6 +120,28 @@ def test_quality(marked):
     assert sum((got[i] >= 0.3) == (i % 5 > 0) for i in held) >= 0.98 * len(held)
 
 
+def test_summed_equations_give_the_ridge_solution(spark):
+    """Against one solve of the ridge problem over all rows."""
+    random_ = np.random.default_rng(8)
+    x = random_.standard_normal((700, len(quality.NAMES)))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * random_.standard_normal(700) > 0.4).astype(float)
+    rows = spark.createDataFrame([(v.tolist(), float(t), i % 2) for i, (v, t) in enumerate(zip(x, y, strict=True))], "_x array<double>, label double, fold int")
+    model = quality.fit(rows.repartition(5))
+    z = model.map(x)
+    ridge = quality.RIDGE * np.diag(np.r_[np.ones(quality.WIDTH), 0]) / quality.WIDTH
+    assert model.raw(x) == pytest.approx(z @ np.linalg.solve(z.T @ z / 700 + ridge, z.T @ y / 700), abs=1e-5)
+    kernel = lambda a, b: np.exp(-quality.GAMMA * (((a - b) / model.scale) ** 2).sum())
+    near = [(i, j) for i in range(0, 60, 2) for j in range(1, 60, 2)]
+    assert np.mean([abs(z[i, :-1] @ z[j, :-1] - kernel(x[i], x[j])) for i, j in near]) < 0.06
+    assert (np.diff(model.rate) >= 0).all() and 0 <= model.rate.min() <= model.rate.max() <= 1
+
+
+def test_marks_are_not_letters(docs, spark):
+    model = language.fit(docs, "doc_id", "text", "lang")
+    got = language.identify(spark.createDataFrame([("\u0301\u0302 \u0300",), ("e\u0301the",)], "text string"), model).collect()
+    assert (got[0]["lang_pred"], got[0]["score"]) == ("und", 0.0) and got[1]["lang_pred"] != "und"
+
+
 def test_isotonic():
     got = quality.isotonic(np.array([0, 3, 1, 4.0]), np.array([2, 4, 4, 4.0]))
     assert got.tolist() == [0, 0.5, 0.5, 1]

@@ -154,7 +154,12 @@ def test_preference_pairs(spark):
 
 def test_conversations_and_negatives(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "b"), (1, 4, "user", "t"), (2, 0, None, None), (3, 1, "assistant", "z"), (3, 0, "user", "y"), (3, 0, "user", "y"), (None, None, "assistant", "x")]
+    rows += [(None, 1, "user", "v"), (None, 1, "user", "v")]
     convs = conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert convs.filter("id IS NULL").select(F.size("turns").alias("n")).collect() == [(1,)] * 3
+    kept = own_negatives(convs.withColumn("_last", F.lit("mine"))).select("_last").distinct().collect()
+    assert kept == [("mine",)]
+    convs = convs.filter("id IS NOT NULL OR turns[0].text = 'x'")
     got = {r["id"]: r for r in own_negatives(convs).collect()}
     last = lambda i: (got[i]["chosen"][-1]["text"], got[i]["rejected"][-1]["text"])
     assert (last(1), last(2), last(3), last(None)) == (("b", "a"), ("", ""), ("z", "y"), ("x", "x"))
