@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import html_text
+from sparkloom.llm import html_text, neighbours
 from sparkloom.llm.chat import conversations, mask, own_negatives, preference_pairs, rendered
 from sparkloom.llm.html_text import extract, main_text
 from sparkloom.llm.neighbours import balanced_parts, neighbour_graph, search
@@ -29,7 +29,7 @@ def test_exact_on_one_partition(spark):
     x[50:120] = x[50]  # many equal vectors
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     bad = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [None] + [1.0] * 7, 0), (1003, [float("nan")] + [1.0] * 7, 0), (1004, [float("inf")] + [1.0] * 7, 0), (1005, [1.0], 0), (None, [1.0] * 8, 0)]
-    got = search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int"), F.col("vec_id") % 50 == 0)
+    got = search(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, rank int"), F.col("vec_id") % 50 == 0, part_rows=300)
     own = brute(x, np.arange(300), range(0, 300, 50), 10)
     found = {}
     for r in got.orderBy("query_id", "rank").collect():
@@ -39,6 +39,29 @@ def test_exact_on_one_partition(spark):
         assert [i for i, _ in found[q]] == [i for i, _ in own[q]] and [s for _, s in found[q]] == pytest.approx([s for _, s in own[q]], abs=1e-12)
 
 
+@pytest.mark.parametrize(("n", "options"), [(4000, {}), (4000, {"part_rows": 60, "most_parts": 16}), (500, {})])
+def test_recall_without_structure(spark, n, options):
+    """64 dimensions, no clusters: one level of partitions, and two."""
+    x = np.random.default_rng(6).standard_normal((n, 64))
+    got = search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, **options)
+    own, found = brute(x, np.arange(n), range(0, n, 20), 10), {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = sum(len(found[q] & {i for i, _ in own[q]}) for q in own) / (10 * len(own))
+    assert all(len(f) == 10 for f in found.values()) and 0.9 <= recall
+
+
+def test_blocks_and_copies_of_a_large_part(spark, monkeypatch):
+    """Many blocks and copies give what one block does."""
+    x = np.random.default_rng(7).standard_normal((600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * 8 * 50)
+    monkeypatch.setattr(neighbours, "VISITS", 7)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in search(rows, F.col("vec_id") % 20 == 0, part_rows=600).collect()}
+    own = brute(x, np.arange(600), range(0, 600, 20), 10)
+    assert got == {(q, i + 1): row for q in own for i, (row, _) in enumerate(own[q])}
+
+
 def test_recall_on_partitions(spark):
     random_ = np.random.default_rng(2)
     x = random_.standard_normal((20, 16))[random_.integers(0, 20, 3000)] + 0.6 * random_.standard_normal((3000, 16))
