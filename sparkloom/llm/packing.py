@@ -38,11 +38,15 @@ _PARTS = r"^(?P<letters>[a-zß-öø-ÿ]*)(?P<marks>[^a-zß-öø-ÿ]*)$"
 class WordIds:
     """Token ids of whole texts from the ids of their words.
 
-    No token of the vocabulary crosses ASCII white space, so the ids of a text are those of its words, and each distinct
-    word is encoded once. Plain words are letters and marks, which never share a token; such parts are encoded many at a
-    time, since each part ends with a token that ends a word. The tokenizer encodes other words one by one.
+    Where no token crosses ASCII white space, the ids of a text are those of its words, and each distinct word is encoded
+    once. Plain words are letters and marks, which never share a token; such parts are encoded many at a time, since each
+    part ends with a token that ends a word. The tokenizer encodes other words one by one. Any other tokenizer (by_word is
+    false: no word ends, or a probe comes out otherwise) encodes whole texts.
     """
 
+    #: Letters, marks, digits, contractions, other scripts and white space next to one another.
+    PROBE = "Don't stop (now),  4.0 a1!\tHe'll  say: \"ÀÉ\" éà THE the,THE\n日本語 Σς … x.y, end."
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -51,7 +55,7 @@ class WordIds:
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for k, i in names.items() if k.endswith("</w>")]] = True
-
+        self.by_word = self.ends.any() and self.one_by_one(self.PROBE.split())[0].tolist() == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -82,6 +86,8 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        if not self.by_word:
+            return self.one_by_one(texts.to_pylist())
         if len(self.number) > KNOWN_PARTS:
             self.forget()
         split = pc.ascii_split_whitespace(texts)

@@ -24,6 +24,14 @@ def test_word_ids():
             at += n
 
 
+def test_tokenizer_without_word_ends_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain, texts = WordIds(path), Tokenizer.from_file(path), ["Two  words, and\n\nmore.", "", " é日本 "]
+    ids, sizes = words(pa.array(texts))
+    assert not words.by_word and WordIds(PATH).by_word
+    assert ids.tolist() == [i for t in texts for i in plain.encode(t, add_special_tokens=False).ids] and sizes.sum() == len(ids)
+
+
 def test_hilbert_neighbours():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = np.argsort(hilbert_key(cells, 3))
