@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written
 
+#: Links up to which one task joins them all in memory (a few megabytes) instead of many rounds of small jobs.
+LOCAL_LINKS = 200_000
+
 #: Nodes with more than this share of all rows are joined by a broadcast, so that a hub's links stay where they are.
 #: There can be at most 1 / HUB_SHARE of them, each of two numbers.
 HUB_SHARE, HUB_ROWS = 1e-4, 200
@@ -21,15 +28,41 @@ def _with_least(rows: DataFrame, count: int) -> tuple[Written, DataFrame]:
     return least, hubs.filter(F.col("m").isNotNull()).unionByName(others)
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node reachable from each) of links between a and b."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root != (jumped := root[root])).any():
+            root = jumped
+    return nodes, nodes[root]
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if parts:
+            nodes, own = roots(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(own)], names=["node", "root"])
+
+    return links.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def components(links: DataFrame, most_rounds: int = 60, local: int | None = None) -> DataFrame:
     """(node, root) of every node of `links` (a, b: numbers); root is the smallest node reachable.
 
     Every round is written to the shared folder, and the one before is dropped. Links of a node to itself are
     ignored; nodes without links are not returned. The number of rounds grows with the logarithm of the longest chain:
-    `most_rounds` is beyond any that a table can hold, and reaching it is an error.
+    `most_rounds` is beyond any that a table can hold, and reaching it is an error. Up to `local` (LOCAL_LINKS) links, one
+    task joins them.
     """
     step = Written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     count, seen = step.df.count(), None
+    if count <= (LOCAL_LINKS if local is None else local):
+        return _in_one_task(step.df.select(F.col("a").cast("long"), F.col("b").cast("long")))
     for _ in range(most_rounds):
         both = step.df.unionByName(step.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least, joined = _with_least(both, 2 * count)
@@ -49,5 +82,5 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = tuple(state)
     else:
         raise RuntimeError(f"links did not settle in {most_rounds} rounds")
-    roots = step.df.select(F.col("b").alias("node")).distinct()
-    return step.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+    tops = step.df.select(F.col("b").alias("node")).distinct()
+    return step.df.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(tops.select("node", F.col("node").alias("root")))

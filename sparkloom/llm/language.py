@@ -104,6 +104,12 @@ def grams(codes: np.ndarray, each: np.ndarray, lengths: tuple[int, ...] = SIZES,
     return np.concatenate(buckets), np.concatenate(words)
 
 
+def parsed_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(letters of all words, number of letters of each, and bucket and word of all their n-grams)."""
+    codes, each = _letters(words)
+    return codes, each, *(grams(codes, each) if len(codes) else (np.empty(0, np.int64),) * 2)
+
+
 def _distinct(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words in lower case, where each word of the texts is among them, number of words of each text)."""
     split = pc.utf8_split_whitespace(pc.utf8_lower(texts))
@@ -135,16 +141,15 @@ class Model:
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         self.seen = (share >= SCRIPT_SHARE).T  # script x language
 
-    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, words: list[str], parsed: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log posterior of each word and language, its number of letters, whether any language has its script).
 
         Marks count in n-grams only: a word of nothing else has no letters. A word's script is that of its first letter."""
-        codes, each = _letters(words)
+        codes, each, buckets, of = parsed or parsed_words(words)
         letters = np.bincount(np.repeat(np.arange(len(words)), each), _code_points()[2][codes], len(words)).astype(np.int64)
         total = np.zeros((len(words), len(self.languages)), np.float64)
         script = np.zeros(len(words), np.int64)
         if len(codes):
-            buckets, of = grams(codes, each)
             for i in range(len(self.languages)):
                 total[:, i] = np.bincount(of, self.log[buckets, i], minlength=len(words))
             has = np.flatnonzero(each)
@@ -156,12 +161,11 @@ class Model:
         total -= np.log(np.exp(total).sum(1, keepdims=True))
         return np.where(known[:, None], np.maximum(total, -FLOOR), 0.0).astype(np.float32), letters, known
 
-    def surprise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def surprise(self, words: list[str], parsed: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(by how many spreads the n-grams of each word fall below each language's mean, summed; their number)."""
-        codes, each = _letters(words)
+        codes, _, buckets, of = parsed or parsed_words(words)
         if not len(codes):
             return np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
-        buckets, of = grams(codes, each)
         n = np.bincount(of, minlength=len(words))
         top = np.bincount(of, self.top[buckets], minlength=len(words))
         found = np.stack([np.bincount(of, self.log[buckets, i], minlength=len(words)) for i in range(len(self.languages))], 1)
@@ -250,7 +254,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
         if model is None:
             return [UNKNOWN] * n, np.zeros(n), [[]] * n if spans else None, np.zeros(n)
         words, at, lengths = _distinct(texts)
-        emission, letters, known = model.scores(words)
+        parsed = parsed_words(words)
+        emission, letters, known = model.scores(words, parsed)
         labels = viterbi(emission[at], lengths)
         text = np.repeat(np.arange(n), lengths)
         width = len(model.languages)
@@ -267,7 +272,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
                 parts.append([{"lang": model.languages[labels[x + a]], "words": int(b - a)} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
         far = np.zeros(n)
         if misfit:
-            surprise, size = model.surprise(words)
+            surprise, size = model.surprise(words, parsed)
             sizes = np.bincount(text, size[at] * known[at], minlength=n)
             far = np.bincount(text, surprise[at, labels] * known[at], minlength=n) / np.maximum(sizes, 1)
             far = np.where(sizes > 0, far - BRIEF / np.sqrt(np.maximum(sizes, 1)), 0.0)

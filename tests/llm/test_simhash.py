@@ -5,6 +5,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
+from sparkloom.llm.components import components
 from sparkloom.llm.simhash import fingerprint, links, near_classes, one_of_each_class
 
 
@@ -83,6 +84,25 @@ def test_links_keep_every_connection(spark, distance, block):
     assert {f: find(f) for f in fps} == classes(fps, distance)
 
 
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components(spark, local):
+    r = random.Random(5)
+    links_ = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(60)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)] + [(7, 7)]
+    root = {x: x for pair in links_ for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links_:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    linked = {x for a, b in links_ if a != b for x in (a, b)}
+    got = components(spark.createDataFrame(links_, "a long, b long"), local=local).collect()
+    assert len(got) == len(linked) and {r["node"]: r["root"] for r in got} == {x: find(x) for x in linked}
+
+
 def test_one_of_each_class(docs):
     kept = one_of_each_class(docs).collect()
     assert sum(r["text"] is None or not r["text"].split() for r in kept) == 1
