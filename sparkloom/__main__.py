@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from .plans import config, pipelines
 from .session import local_session, ship_package
@@ -28,12 +29,13 @@ def main(argv: list[str] | None = None) -> None:
     own = parser.parse_args(argv)
     spark = local_session()
     ship_package(spark)
+    made = config.settings(config.of_file(getattr(own, "config", None)), config.of_environment(os.environ))
     if own.command == "build":
-        pipelines.build(records.read_json_lines(spark, own.input, DOCUMENT), own.index, config.load(own.config))
+        pipelines.build(records.read_json_lines(spark, own.input, DOCUMENT), own.index, made)
     elif own.command == "inspect":
         index_store.read_index(spark, own.index)["shards"].select("shard_id", "title", "summary").orderBy("shard_id").show(1000, False)
     else:
-        pipelines.run_search(spark, own.index, own.question, config.load(own.config), own.mode).show(100, False)
+        pipelines.run_search(spark, own.index, own.question, made, own.mode).show(100, False)
 
 
 if __name__ == "__main__":

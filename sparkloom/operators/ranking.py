@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import small
+
 RRF_K = 60
 
 
@@ -56,7 +58,7 @@ def fan_out(routed: DataFrame, available: DataFrame, by: list[str], least: int =
     """(by, shard_id, pos): routed shards in order, distinct, filled up with the others in ascending order to `least`,
     `most` at most. routed has pos."""
     first = routed.groupBy(*by, "shard_id").agg(F.min("pos").alias("pos")).withColumn("_o", F.lit(0))
-    others = routed.select(*by).distinct().join(F.broadcast(available.select("shard_id").distinct().limit(100_000)), how="cross").join(first.select(*by, "shard_id"), [*by, "shard_id"], "left_anti").withColumn("pos", F.col("shard_id")).withColumn("_o", F.lit(1))
+    others = routed.select(*by).distinct().crossJoin(small(available.select("shard_id").distinct())).join(first.select(*by, "shard_id"), [*by, "shard_id"], "left_anti").withColumn("pos", F.col("shard_id")).withColumn("_o", F.lit(1))
     both = first.unionByName(others)
     w = Window.partitionBy(*by).orderBy("_o", "pos", "shard_id")
     n = F.sum(1 - F.col("_o")).over(Window.partitionBy(*by))

@@ -14,6 +14,7 @@ from .functions import vectors as V
 from .functions.arrow import hash_embedding
 from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing
 from .plans import agent, search
+from .steps import small
 from .streaming import ingestion
 
 QUERIES: dict = {}
@@ -84,8 +85,8 @@ def vectors(spark, d) -> DataFrame:
 
 
 def dense_questions(spark, d) -> DataFrame:
-    """Vectors of every fiftieth document as questions."""
-    return vectors(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    """Vectors of every document whose number is divisible by 20, as questions."""
+    return vectors(spark, d).filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
 
 
 # ---- SQL fragments
@@ -111,7 +112,7 @@ kw0 AS (SELECT shard_id, term, n / total * (ln((1 + (SELECT count(*) FROM tt)) /
 kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY round(weight, 12) DESC, term) AS rank FROM kw0) WHERE rank <= 30)"""
 S_QRELS = "qr AS (SELECT b.item_id AS query_id, d.doc_id, CASE WHEN l.quality = 1 THEN 2 ELSE 1 END AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l ON l.doc_id = d.doc_id)"
 S_VEC = "vec AS (SELECT vec_id AS doc_id, label AS shard_id, embedding::DOUBLE[] AS v FROM embeddings)"
-S_DENSE = """dq AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 50 = 0),
+S_DENSE = """dq AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 20 = 0),
 sims AS (SELECT a.query_id, b.doc_id, b.shard_id, list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS score FROM dq a JOIN vec b ON a.query_id <> b.doc_id)"""
 S_CENT = """cv AS (SELECT shard_id, i, avg(x) AS x FROM (SELECT shard_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vec) GROUP BY ALL),
 cl AS (SELECT shard_id, sqrt(sum(x * x)) AS l FROM cv GROUP BY shard_id),
@@ -215,11 +216,14 @@ def topics_qrels_join(spark, d):
     return ingest.judged_topics(questions(spark, d).select("query_id", "question"), qrels(spark, d)).select("query_id", "question", F.array_join("positive", ",").alias("positive"))
 
 
-@query(rf"""SELECT doc_id, term, n, CASE WHEN length(term) <= 3 OR NOT ends_with(term, 's') THEN term WHEN term IN ({", ".join(f"'{w}'" for w in T.INVARIANT_NOUNS)}) OR regexp_matches(term, '(ss|us|is)$') THEN term
- WHEN regexp_matches(term, 'ies$') AND length(term) > 4 THEN substr(term, 1, length(term) - 3) || 'y' WHEN regexp_matches(term, '(ches|shes|sses|xes|zes)$') THEN substr(term, 1, length(term) - 2) ELSE substr(term, 1, length(term) - 1) END AS singular
- FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE source = 'src3') GROUP BY ALL)""")
+@query("""SELECT doc_id, term, n, CASE
+  WHEN length(term) < 4 OR NOT ends_with(term, 's') OR term IN ('alias', 'atlas', 'bias', 'canvas', 'chaos', 'gas', 'iris', 'lens', 'means', 'news', 'series', 'species') THEN term
+  WHEN regexp_matches(term, '(ss|us|is)$') THEN term
+  WHEN regexp_matches(term, '.{2,}ies$') THEN regexp_replace(term, 'ies$', 'y')
+  WHEN regexp_matches(term, '(ch|sh|ss|x)es$') THEN left(term, -2) ELSE left(term, -1) END AS singular
+ FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL)""")
 def term_frequencies_singular(spark, d):
-    own = table(spark, d, "documents").filter("source = 'src3'").select("doc_id", T.tokens(F.col("text")).alias("words"))
+    own = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
     return bm25.term_counts(own, ["doc_id"]).select("doc_id", "term", F.col("tf").alias("n"), T.singular(F.col("term")).alias("singular"))
 
 
@@ -231,7 +235,7 @@ def e5_format(spark, d):
 @query()
 def snippets(spark, d):
     first = bm25_topk(spark, d).filter("rnk = 1").join(questions(spark, d), "query_id").join(table(spark, d, "documents"), "doc_id")
-    return first.select("query_id", "doc_id", T.snippet(F.col("text"), F.substring("question", 1, 40)).alias("snippet"))
+    return first.select("query_id", "doc_id", T.snippet(F.col("text"), F.col("question")).alias("snippet"))
 
 
 # ---- index features
@@ -326,8 +330,8 @@ def keyword_postings(spark, d):
     return routing.sparse_matrix(shard_keywords(spark, d).select("shard_id", "term", "weight"))
 
 
-# questions for both rankers: every fiftieth document's first words, and its vector
-S_HQ = f"qw AS (SELECT d.doc_id AS query_id, list_slice(d.words, 1, 30) AS words FROM dw d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 50 = 0)"
+# questions for both rankers: every twentieth document's words, and its vector
+S_HQ = f"qw AS (SELECT d.doc_id AS query_id, d.words FROM dw d JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.doc_id % 20 = 0)"
 S_SPARSE = """ix AS (SELECT term, ln((1 + (SELECT count(DISTINCT shard_id) FROM kw)) / (1 + count(*))) + 1 AS idf FROM kw GROUP BY term),
 kl AS (SELECT shard_id, sqrt(sum(weight * weight)) AS l FROM kw GROUP BY shard_id),
 uq AS (SELECT query_id, term, weight * idf AS w FROM qt JOIN ix USING (term)),
@@ -406,7 +410,7 @@ def expansion_topk(spark, d):
     return expanded(spark, d).select("query_id", "term", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-S_SEL = """qv AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 50 = 0),
+S_SEL = """qv AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 20 = 0),
 sd AS (SELECT q.query_id, c.shard_id, round(list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))), 9) AS score, 'dense' AS ranker FROM qv q, cent c),
 ls AS (SELECT * FROM sd UNION ALL SELECT query_id, shard_id, round(score, 9), 'lexical' FROM sps),
 fl AS (SELECT query_id, ranker FROM ls GROUP BY ALL HAVING count(*) >= 2 AND max(score) - min(score) > 1e-12),
@@ -417,9 +421,9 @@ su AS (SELECT query_id, shard_id, sum(1.0 / (60 + rnk)) AS score FROM ns WHERE r
 @query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_HQ, S_QT, S_SPARSE, S_VEC, S_CENT, S_SEL) + "SELECT query_id, shard_id, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, shard_id::VARCHAR) AS rank FROM su")
 def shard_select_rrf(spark, d):
     postings, idf = keyword_postings(spark, d)
-    sparse = routing.sparse_scores(postings, idf, first_words(spark, d).withColumnRenamed("weight", "n")).withColumn("ranker", F.lit("lexical"))
+    sparse = routing.sparse_scores(postings, idf, document_words(spark, d).withColumnRenamed("weight", "n")).withColumn("ranker", F.lit("lexical"))
     own = V.mean_vectors(vectors(spark, d), "shard_id", "v")
-    near = dense_questions(spark, d).join(F.broadcast(own.limit(10_000))).select("query_id", "shard_id", V.cosine(F.col("q"), F.col("centroid")).alias("score"), F.lit("dense").alias("ranker"))
+    near = dense_questions(spark, d).crossJoin(small(own)).select("query_id", "shard_id", V.cosine(F.col("q"), F.col("centroid")).alias("score"), F.lit("dense").alias("ranker"))
     lists = ranking.without_flat(sparse.unionByName(near).withColumn("score", F.round("score", 9)), ["query_id"])
     placed = ranking.top(lists, ["query_id", "ranker"], "score", "shard_id", 100).withColumn("weight", F.lit(1.0))
     return ranking.fused(placed, ["query_id"], "shard_id").select("query_id", "shard_id", F.round("score", 8).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -472,13 +476,13 @@ S_LISTS = """lx AS (SELECT query_id, shard_id, doc_id, score, 'lexical' AS ranke
 both_ AS (SELECT * FROM lx UNION ALL SELECT query_id, shard_id, doc_id, score, 'dense' FROM sims)"""
 
 
-def first_words(spark, d) -> DataFrame:
-    own = shard_words(spark, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.slice("words", 1, 30)).alias("term"))
+def document_words(spark, d) -> DataFrame:
+    own = shard_words(spark, d).filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode("words").alias("term"))
     return own.groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def hybrid_lists(spark, d) -> DataFrame:
-    lexical = bm25.scores(shard_tf(spark, d), first_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
+    lexical = bm25.scores(shard_tf(spark, d), document_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
     return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d), among_rows=True).withColumn("ranker", F.lit("dense")))
 
 
@@ -509,7 +513,7 @@ def rrf_contributions(spark, d):
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_HQ, S_QT, S_BM25) + "SELECT query_id, doc_id, round(max(score), 6) AS score, count(DISTINCT shard_id) AS shards FROM bm GROUP BY query_id, doc_id")
 def group_by_document_max(spark, d):
-    return bm25.scores(shard_tf(spark, d), first_words(spark, d)).groupBy("query_id", "doc_id").agg(r6("score", F.max("score")), F.countDistinct("shard_id").alias("shards"))
+    return bm25.scores(shard_tf(spark, d), document_words(spark, d)).groupBy("query_id", "doc_id").agg(r6("score", F.max("score")), F.countDistinct("shard_id").alias("shards"))
 
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_Q, S_QT, S_SPARSE, S_ROUTED) + """, av AS (SELECT DISTINCT label AS shard_id FROM embeddings),

@@ -1,15 +1,27 @@
-"""Steps of a plan that are computed once and kept in the shared folder."""
+"""Steps of a plan that are computed once and kept in the shared folder, and joins whose broadcast side is checked."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows up to which a side is broadcast.
+FEW = 100_000
 
 
 def step(df: DataFrame) -> DataFrame:
-    """`df`, computed and written to the session's spark.checkpoint.dir; a temporary folder only where none is named."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='steps-')}")
+    """`df`, computed and written to the session's spark.checkpoint.dir; a temporary folder only where a local session names
+    none."""
+    context = df.sparkSession.sparkContext
+    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='steps-')}")
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A broadcast of a side with `most` rows at most; Spark deals a larger one out in blocks."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -26,7 +26,7 @@ def test_text_functions(spark):
     assert one(spark, T.derive_title(F.col("a")), a="First one! Second.") == "First one!"
     assert one(spark, T.derive_title(F.col("a")), a="x" * 130) == "x" * 120
     assert one(spark, T.derive_title(F.col("a")), a="word " * 40) == ("word " * 24).strip()
-    words = {"medicines": "medicine", "news": "news", "glass": "glass", "boxes": "box", "cities": "city", "gas": "gas", "bus": "bus", "lies": "lie"}
+    words = {"medicines": "medicine", "news": "news", "glass": "glass", "boxes": "box", "cities": "city", "gas": "gas", "bus": "bus", "lies": "lie", "alias": "alias", "lens": "lens", "sizes": "size", "churches": "church", "this": "this", "as": "as", "News": "News"}
     assert {w: one(spark, T.singular(F.col("a")), a=w) for w in words} == words
     assert one(spark, T.composed(F.col("a"), F.col("b")), a="gene editing", b=["Editing", "crispr", "CRISPR", "cas9"]) == "gene editing crispr; cas9"
     assert one(spark, T.without_stopwords(F.col("a"), F.array(F.lit("it"), F.lit("the"))), a=["the", "IT", "team"]) == ["IT", "team"]
@@ -159,7 +159,7 @@ def test_index_and_search(spark, tmp_path):
     topics = {"gene": "gene editing crispr therapy medicine", "film": "film actor comedy cinema director", "soil": "soil farm wheat harvest rain"}
     docs = [(f"{t}-{i}", f"{t} {i}", f"{words} number {i} {'quokka' if (t, i) == ('soil', 3) else ''}".strip(), None, "en" if i % 2 else "de", None, {"topic": t}) for t, words in topics.items() for i in range(12)]
     df = spark.createDataFrame(docs, "id string, title string, text string, url string, language string, published_at timestamp, metadata map<string,string>")
-    settings = config.load(environ={"SPARKLOOM__INDEX__SHARDS": "3"}, overrides={"search": {"least_shards": 2, "most_shards": 3}})
+    settings = config.settings(config.of_environment({"SPARKLOOM_INDEX_SHARDS": "3"}), {"search.least_shards": 2, "search.most_shards": 3})
     path = str(tmp_path / "index")
     pipelines.build(df, path, settings)
     tables = index_store.read_index(spark, path)
@@ -178,6 +178,17 @@ def test_index_and_search(spark, tmp_path):
         index_store.read_index(spark, str(tmp_path / "absent"))
 
 
+def test_a_failed_build_leaves_the_index(spark, tmp_path):
+    path, one_ = str(tmp_path / "index"), spark.createDataFrame([("a", 0)], "doc_id string, shard_id int")
+    index_store.write_index(path, {"documents": one_, "members": one_}, {})
+    with pytest.raises(ValueError, match="2 documents but 1 members"):
+        index_store.write_index(path, {"documents": one_.unionByName(one_), "members": one_}, {})
+    assert index_store.read_index(spark, path)["documents"].count() == 1
+    index_store.write_index(path, {"documents": one_.unionByName(one_)}, {})
+    assert index_store.read_index(spark, path)["documents"].count() == 2
+    assert len([x for x in (tmp_path / "index").iterdir() if x.is_dir()]) == 1
+
+
 def test_filters_and_dictionaries(spark):
     phrases = spark.createDataFrame([(s, f"phrase {s} {i}") for s in range(2) for i in range(200)], "shard_id int, phrase string")
     probes = phrases.filter("shard_id = 0").select(F.lit(1).alias("query_id"), "phrase")
@@ -207,11 +218,14 @@ def test_tree_nodes():
     assert child.uct() == pytest.approx(0.5 + 1.4 * math.sqrt(math.log(2) / 2)) and agent.Node(2, root).uct() == pytest.approx(1.4 * math.sqrt(math.log(2)))
 
 
-def test_settings():
-    got = config.load(environ={"SPARKLOOM__FUSION__K": "10", "OTHER": "x"}, overrides={"fusion": {"dense": 2.0}})
-    assert got["fusion"] == {"k": 10, "dense": 2.0, "lexical": 1.0, "entity": 0.5}
-    with pytest.raises(ValueError):
-        config.load(overrides={"other": 1})
+def test_settings(tmp_path):
+    path = tmp_path / "settings.json"
+    path.write_text('{"corpus.languages": ["en"], "fusion.k": 7}')
+    got = config.settings(config.of_file(str(path)), config.of_environment({"SPARKLOOM_FUSION_K": "10", "OTHER": "x"}), {"fusion.dense": 2})
+    assert got.fusion == config.Fusion(k=10, dense=2.0) and got.corpus.languages == ("en",) and got.index == config.Index()
+    for wrong in ({"other.k": 1}, {"fusion.other": 1}, {"fusion.k": "many"}):
+        with pytest.raises(ValueError):
+            config.settings(wrong)
 
 
 def test_clusters_are_not_too_large(spark):
