@@ -31,7 +31,8 @@ BRIEF = 8.0
 SCRIPT_SHARE = 0.01
 #: Documents of each language that the model is fitted on, at most.
 FIT_DOCS = 2_000
-CHARS_AT_ONCE = 8_000_000
+#: Bytes of texts that a task parses at once.
+CHARS_AT_ONCE = 2_000_000
 #: First and last code points of scripts, by number; letters elsewhere have number 0.
 SCRIPTS = [
     ("latin", [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)]),
@@ -247,6 +248,9 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
     docs = docs.drop("lang_pred", "score", "spans", *["misfit"] * misfit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns if keep_text else [c for c in docs.columns if c != text_col]
+    # a text that is kept goes to the worker once
+    once = keep_text and dict(docs.dtypes).get(text_col) == "string"
+    place, before = (columns.index(text_col), 0) if once else (0, 1)
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int64())]))
 
     def of_slice(texts: pa.Array) -> tuple[list, np.ndarray, list | None, np.ndarray]:
@@ -280,16 +284,17 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pc.fill_null(batch.column(0), "")
+            texts = pc.fill_null(batch.column(place), "")
             for x, y in _slices(texts):
                 names, score, parts, far = of_slice(texts.slice(x, y - x))
-                out = [*(c.slice(x, y - x) for c in batch.columns[1:]), pa.array(names, pa.string()), pa.array(score)]
+                out = [*(c.slice(x, y - x) for c in batch.columns[before:]), pa.array(names, pa.string()), pa.array(score)]
                 out += ([pa.array(parts, span_type)] if spans else []) + ([pa.array(far)] if misfit else [])
                 yield pa.RecordBatch.from_arrays(out, names=[*columns, "lang_pred", "score", *["spans"] * spans, *["misfit"] * misfit])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
     schema = f"{fields}, lang_pred string, score double" + ", spans array<struct<lang:string,words:bigint>>" * spans + ", misfit double" * misfit
-    return docs.select(F.col(text_col).cast("string").alias(free_name("_text", columns)), *columns).mapInArrow(run, schema)
+    text = [] if once else [F.col(text_col).cast("string").alias(free_name("_text", columns))]
+    return docs.select(*text, *columns).mapInArrow(run, schema)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .curve import hilbert_key
 LENGTH = 2048
 DIMS, BITS, BUCKETS = 4, 10, 256
 #: Characters whose words a task looks up at once.
-CHARS_AT_ONCE = 12_000_000
+CHARS_AT_ONCE = 3_000_000
 #: Parts of words whose ids a worker remembers; beyond, it starts anew.
 KNOWN_PARTS = 600_000
 #: Words of letters whose lower case and normal form are one letter each, then ASCII marks that start no contraction.
