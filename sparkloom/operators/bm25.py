@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..steps import small
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 EXPANSION_WEIGHT = 0.3
 
@@ -21,12 +23,38 @@ def scores(tf: DataFrame, questions: DataFrame, shard: str = "shard_id") -> Data
     expansion; repeated terms add up. A negative idf becomes EPSILON times the mean idf over all terms of the shard.
     """
     lengths = tf.groupBy(shard, "doc_id").agg(F.sum("tf").alias("dl"))
+    wanted = _wanted(questions)
+    asked = _asked(lengths, tf.groupBy(shard, "term").agg(F.count(F.lit(1)).alias("df")), wanted.select("term").distinct(), shard)
+    return _summed(tf.join(asked, [shard, "term"]).join(lengths, [shard, "doc_id"]), wanted, shard)
+
+
+def scores_of_words(docs: DataFrame, questions: DataFrame, shard: str = "shard_id") -> DataFrame:
+    """The same from (shard, doc_id, words), a row for each document of a shard, without a table of all postings.
+
+    Document frequencies are summed before they are shuffled, lengths stay in their rows, and of the words only those that
+    the questions ask for leave them. Documents without words and null words do not count.
+    """
+    wanted = _wanted(questions)
+    terms = small(wanted.select("term").distinct())
+    rows = docs.select(shard, "doc_id", "words", F.size("words").cast("long").alias("dl")).filter("dl > 0")
+    frequency = rows.select(shard, F.explode(F.array_distinct("words")).alias("term")).groupBy(shard, "term").agg(F.count(F.lit(1)).alias("df"))
+    found = rows.select(shard, "doc_id", "dl", F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy(shard, "doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _summed(found.join(_asked(rows, frequency, terms, shard), [shard, "term"]), wanted, shard)
+
+
+def _wanted(questions: DataFrame) -> DataFrame:
+    return questions.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+
+
+def _asked(lengths: DataFrame, frequency: DataFrame, terms: DataFrame, shard: str) -> DataFrame:
+    """(shard, term, avgdl, idf) of `terms`. lengths: (shard, dl), a row a document. frequency: (shard, term, df)."""
     shards = lengths.groupBy(shard).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    frequency = tf.groupBy(shard, "term").agg(F.count(F.lit(1)).alias("df"))
     raw = frequency.join(shards, shard).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.groupBy(shard).agg((EPSILON * F.avg("idf")).alias("floor"))
-    wanted = questions.groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
-    # only what the questions ask for goes on
-    asked = raw.join(wanted.select("term").distinct(), "term", "left_semi").join(floor, shard).select(shard, "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hits = tf.join(asked, [shard, "term"]).join(lengths, [shard, "doc_id"]).withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    return hits.join(wanted, "term").groupBy("query_id", shard, "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).filter("score > 0")
+    return raw.join(terms, "term", "left_semi").join(floor, shard).select(shard, "term", "avgdl", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+
+
+def _summed(hits: DataFrame, wanted: DataFrame, shard: str) -> DataFrame:
+    """Scores of hits (shard, doc_id, term, tf, dl, avgdl, idf)."""
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return hits.withColumn("part", part).join(wanted, "term").groupBy("query_id", shard, "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score")).filter("score > 0")

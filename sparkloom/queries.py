@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .functions.arrow import hash_embedding
 from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing
 from .plans import agent, search
-from .steps import small
+from .steps import small, step
 from .streaming import ingestion
 
 QUERIES: dict = {}
@@ -54,8 +54,12 @@ def shards(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("shard_id"))
 
 
+def indexed_words(spark, d) -> DataFrame:
+    return indexed("words", spark, d, lambda: doc_words(spark, d))
+
+
 def shard_words(spark, d) -> DataFrame:
-    return doc_words(spark, d).join(shards(spark, d), "doc_id")
+    return indexed_words(spark, d).join(small(shards(spark, d)), "doc_id")
 
 
 def shard_tf(spark, d) -> DataFrame:
@@ -449,27 +453,26 @@ def compression_gain(spark, d):
 
 
 # ---- retrieval
-def unsharded_tf(spark, d) -> DataFrame:
-    return indexed("tf", spark, d, lambda: bm25.term_counts(doc_words(spark, d).withColumn("shard_id", F.lit(0)), ["shard_id", "doc_id"]))
+def best_by_words(docs: DataFrame, asked: DataFrame, by: list[str], most: int = 10) -> DataFrame:
+    got = bm25.scores_of_words(docs, asked).withColumn("_s", F.round("score", 9))
+    return ranking.top(got, by, "_s", "doc_id", most).withColumn("score", F.round("score", 6)).withColumn("rnk", F.col("rnk").cast("long"))
 
 
 @query(with_(S_WORDS, S_TF0, S_Q, S_QT, S_BM25) + "SELECT query_id, doc_id, round(score, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM bm) WHERE rnk <= 10")
 def bm25_topk(spark, d):
-    got = bm25.scores(unsharded_tf(spark, d), question_terms(spark, d)).withColumn("_s", F.round("score", 9))
-    return ranking.top(got, ["query_id"], "_s", "doc_id", 10).select("query_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
+    words = indexed_words(spark, d).withColumn("shard_id", F.lit(0))
+    return best_by_words(words, question_terms(spark, d), ["query_id"]).select("query_id", "doc_id", "score", "rnk")
 
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_Q, S_QT, S_BM25) + "SELECT query_id, shard_id, doc_id, round(score, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM bm) WHERE rnk <= 10")
 def bm25_per_shard(spark, d):
-    got = bm25.scores(shard_tf(spark, d), question_terms(spark, d)).withColumn("_s", F.round("score", 9))
-    return ranking.top(got, ["query_id", "shard_id"], "_s", "doc_id", 10).select("query_id", "shard_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
+    return best_by_words(shard_words(spark, d), question_terms(spark, d), ["query_id", "shard_id"]).select("query_id", "shard_id", "doc_id", "score", "rnk")
 
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_GRAPH, S_Q, S_QT, S_SPARSE, S_ROUTED, S_ACT, S_EXP, "qe AS (SELECT query_id, term, weight FROM qt UNION ALL SELECT query_id, term, 0.3 FROM exps)", S_BM25.replace("JOIN qt USING", "JOIN qe USING")) + "SELECT query_id, doc_id, round(score, 6) AS score, rnk FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM bm) WHERE rnk <= 10")
 def bm25_with_expansion(spark, d):
     both = question_terms(spark, d).unionByName(expanded(spark, d).select("query_id", "term", F.lit(bm25.EXPANSION_WEIGHT).alias("weight")))
-    got = bm25.scores(shard_tf(spark, d), both).withColumn("_s", F.round("score", 9))
-    return ranking.top(got, ["query_id"], "_s", "doc_id", 10).select("query_id", "doc_id", r6("score"), F.col("rnk").cast("long").alias("rnk"))
+    return best_by_words(shard_words(spark, d), both, ["query_id"]).select("query_id", "doc_id", "score", "rnk")
 
 
 S_LISTS = """lx AS (SELECT query_id, shard_id, doc_id, score, 'lexical' AS ranker FROM bm WHERE query_id <> doc_id),
@@ -482,7 +485,7 @@ def document_words(spark, d) -> DataFrame:
 
 
 def hybrid_lists(spark, d) -> DataFrame:
-    lexical = bm25.scores(shard_tf(spark, d), document_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
+    lexical = bm25.scores_of_words(shard_words(spark, d), document_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
     return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d), among_rows=True).withColumn("ranker", F.lit("dense")))
 
 
@@ -513,7 +516,7 @@ def rrf_contributions(spark, d):
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_HQ, S_QT, S_BM25) + "SELECT query_id, doc_id, round(max(score), 6) AS score, count(DISTINCT shard_id) AS shards FROM bm GROUP BY query_id, doc_id")
 def group_by_document_max(spark, d):
-    return bm25.scores(shard_tf(spark, d), document_words(spark, d)).groupBy("query_id", "doc_id").agg(r6("score", F.max("score")), F.countDistinct("shard_id").alias("shards"))
+    return bm25.scores_of_words(shard_words(spark, d), document_words(spark, d)).groupBy("query_id", "doc_id").agg(r6("score", F.max("score")), F.countDistinct("shard_id").alias("shards"))
 
 
 @query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_Q, S_QT, S_SPARSE, S_ROUTED) + """, av AS (SELECT DISTINCT label AS shard_id FROM embeddings),
@@ -578,7 +581,8 @@ def shard_recall_at_n(spark, d):
 pr AS (SELECT a.query_id, avg(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))) AS redundancy FROM f5 a JOIN f5 b ON a.query_id = b.query_id AND a.doc_id < b.doc_id GROUP BY a.query_id)
 SELECT query_id, round(avg(len(list_intersect(w, q)) / len(q)), 6) AS relevance, round(len(list_distinct(flatten(list(list_intersect(w, q))))) / any_value(len(q)), 6) AS coverage, round(coalesce(any_value(redundancy), 0), 6) AS redundancy FROM f5 LEFT JOIN pr USING (query_id) GROUP BY query_id""")
 def judge_overlap(spark, d):
-    hits = bm25_topk(spark, d).join(doc_words(spark, d), "doc_id")
+    # the hits are few: found once, and only their documents' words go on
+    hits = indexed_words(spark, d).join(small(step(bm25_topk(spark, d))), "doc_id")
     return metrics.judged_hits(hits, questions(spark, d)).select("query_id", r6("relevance"), r6("coverage"), r6("redundancy"))
 
 
