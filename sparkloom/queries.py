@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .functions.arrow import hash_embedding
 from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing
 from .plans import agent, search
-from .steps import small, step
+from .steps import small, spread, step
 from .streaming import ingestion
 
 QUERIES: dict = {}
@@ -32,7 +32,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 _index: dict = {}

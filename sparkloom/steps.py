@@ -25,3 +25,12 @@ def step(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = FEW) -> DataFrame:
     """A broadcast of a side with `most` rows at most; Spark deals a larger one out in blocks."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` of a table, dealt out anew if the table is too small to be read by all cores: a single row group would be one
+    task, however long its texts. Larger tables stay as they are read."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    return rows.repartition(cores) if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * least else rows
