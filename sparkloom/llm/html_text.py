@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import spread
 from .common import free_name, table
 
 #: Share of the best path's fused ratio that makes a path content, and of content text that its element holds, or an
@@ -269,4 +270,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+    return extract(spread(table(spark, sf_dir, "pages")).select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import spread
 from .common import free_name, held_out, learned, table
 from .sampling import per_class
 
@@ -298,6 +299,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", spans
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     model = fit(docs.filter(learned()), "doc_id", "text", "lang")
     return identify(docs.select("doc_id", "text"), model, keep_text=False).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
+from ..steps import spread
 from .common import Written, shuffle_partitions, table
 from .curve import hilbert_key
 
@@ -239,4 +240,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 def op4_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), tokenizer or public_tokenizers.path("word_bpe_49k.json"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import spread
 from .common import Written, free_name, held_out, learned, table, written
 
 WIDTH, GAMMA, RIDGE, BINS = 384, 0.06, 1e-3, 4_000
@@ -196,5 +197,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), table(spark, sf_dir, "labels")
     return classify(docs, labels.filter(learned())).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

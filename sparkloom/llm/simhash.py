@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import spread
 from .common import Written, free_name, table
 from .components import components
 from .keyed import links_within_keys
@@ -138,5 +139,5 @@ def one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return near_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

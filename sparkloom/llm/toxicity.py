@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..steps import spread
 from .common import Written, free_name, held_out, learned, shuffle_partitions, small_side, table
 from .language import _distinct, _letters, _slices, grams
 from .sampling import chance, per_class
@@ -251,6 +252,6 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents")).select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.filter(learned()))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
