@@ -2,8 +2,10 @@
 
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
-from sparkloom.llm import near_copies
+from sparkloom.llm import components, keyed, near_copies
 
 from .conftest import prose
 
@@ -59,3 +61,22 @@ def test_no_near_copies_stay(spark):
     once = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, once, "").collect()}
     assert got == plain_stay(rows)
+
+
+def test_unrelated_texts_are_no_candidates(spark, monkeypatch):
+    """They share a passage that the sample did not see: with 64 bits about one pair in twelve was linked, in all one group."""
+    monkeypatch.setattr(near_copies, "_counts", lambda texts: np.zeros(near_copies.COUNTERS, np.int32))
+    rows = [(i, f"{prose('en', 400, 500 + i)} {prose('de', 40, 3)}") for i in range(24)]
+    assert near_copies._candidates(spark.createDataFrame(rows, "node long, text string")).count() == 0
+
+
+def test_large_tables_joins(spark, monkeypatch):
+    """No broadcasts, and components in rounds, as with more rows than a task or a broadcast may hold."""
+    monkeypatch.setattr(components, "LOCAL_LINKS", 3)
+    for module in (near_copies, keyed):
+        monkeypatch.setattr(module, "small_side", lambda df, limit=0: df)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
+    assert got == plain_stay(rows)
