@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 
 import corpus_pipeline
-from sparkloom.llm import components, keyed, near_copies
+from sparkloom.llm import components, keyed, near_copies, simhash
 
 from .conftest import prose
 
@@ -80,3 +80,27 @@ def test_large_tables_joins(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
     assert got == plain_stay(rows)
+
+
+def test_pigeonring_finds_without_rare_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "_rare", lambda own, order: np.zeros(0, np.int64))
+    rows = []
+    for i in range(6):
+        base = prose("en", 400, 700 + i).split()
+        rows += [(10 * i + j, " ".join([*base[: 40 * j], "changed", *base[40 * j + 1 :]])) for j in range(5)]
+    links = near_copies._candidates(spark.createDataFrame(rows, "node long, text string")).collect()
+    assert links and all(r["a"] // 10 == r["b"] // 10 for r in links)
+    # all that are within the ring's distance are connected
+    prints = {i: simhash.majority(iter([s := near_copies.shingles(t)]), len(s)) for i, t in rows}
+    close = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= near_copies.RING]
+    nodes, root = components.roots(*(np.array([r[c] for r in links]) for c in "ab"))
+    root = dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    assert len(close) > 5 and all(root[a] == root[b] for a, b in close)
+
+
+def test_ring_keys_are_those_of_the_plan(spark):
+    ring, prints = simhash.Ring(near_copies.RING), np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64)
+    keys, of = ring.keys(prints)
+    signed = prints.view(np.int64)
+    planned = ring.keyed(spark.createDataFrame([(int(p),) for p in signed], "fp long")).collect()
+    assert sorted((r["key"], r["fp"]) for r in planned) == sorted(zip(keys.tolist(), signed[of].tolist(), strict=True))
