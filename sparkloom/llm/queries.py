@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import chat, content_sort, html_text, language, mixing, neighbours, packing, quality, simhash, toxicity
+from . import chat, content_sort, html_text, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
 SQL = {
     "op3_exact_dedup": content_sort.OP3_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
 }
