@@ -24,6 +24,7 @@ from ..steps import spread
 from .common import Written, shuffle_partitions, small_side, table
 from .keyed import and_end
 from .perfect_hash import PerfectHash
+from .terms import in_slices
 
 LEAST_DOCS, LEAST_CHARS = 3, 20
 #: Lines of a shard in the mean, and probes that go to one copy of it.
@@ -45,6 +46,16 @@ def line_keys(text: bytes, least_chars: int) -> list[bytes | None]:
     return found
 
 
+def distinct_keys(texts: pa.Array, least_chars: int) -> tuple[list[bytes], list[int]]:
+    """The distinct digests of each text, one after another, and how many each has."""
+    digests, sizes = [], []
+    for text in texts:
+        own = set(line_keys(text.as_py() or b"", least_chars)) - {None}
+        digests += own
+        sizes.append(len(own))
+    return digests, sizes
+
+
 def halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     both = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
     return both[:, 0].copy(), both[:, 1].copy()
@@ -107,11 +118,7 @@ def line_index(texts: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes = [], []
-            for text in batch.column(1):
-                own = set(line_keys(text.as_py() or b"", least_chars)) - {None}
-                digests += own
-                sizes.append(len(own))
+            digests, sizes = distinct_keys(batch.column(1), least_chars)
             owner = np.repeat(batch.column(0).fill_null(NONE).to_numpy(), sizes)
             high, low, n, owner = summed(*halves(digests), np.ones(len(digests), np.int64), owner)
             yield _rows({"shard": (high % np.uint64(shards)).astype(np.int64), "high": high, "low": low, "n": n, "owner": owner})
@@ -151,11 +158,7 @@ def repeated_lines(texts: DataFrame, index: DataFrame, shards: int, least_chars:
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes = [], []
-            for text in batch.column(1):
-                own = set(line_keys(text.as_py() or b"", least_chars)) - {None}
-                digests += own
-                sizes.append(len(own))
+            digests, sizes = distinct_keys(batch.column(1), least_chars)
             high, low = halves(digests)
             of = np.repeat(np.arange(batch.num_rows), sizes)
             yield _rows({"shard": (high % np.uint64(shards)).astype(np.int64), "high": high, "low": low, "id": batch.column(0).take(pa.array(of)), "place": batch.column(2).take(pa.array(of))})
@@ -207,7 +210,7 @@ def line_dedup(
     others = [c for c in plain.columns if c != text]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             texts, before, gone = [], [], []
             for raw, lines in zip(batch.column(0), batch.column(1), strict=True):
                 whole = raw.as_py() or b""
