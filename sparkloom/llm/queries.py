@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import chat, content_sort, html_text, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity
+from . import chat, content_sort, divergence, html_text, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_chat": chat.op9_chat,
     "op10_quality": quality.op10_quality,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 SQL = {
@@ -21,4 +22,5 @@ SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op9_chat": chat.OP9_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op12_divergence": divergence.OP12_SQL,
 }
