@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and SQL for those that SQL can express."""
 
-from . import chat, content_sort, divergence, html_text, language, line_dedup, mixing, neighbours, packing, quality, simhash, toxicity
+from . import chat, content_sort, divergence, html_text, language, line_dedup, mixing, neighbours, packing, quality, resampling, simhash, toxicity
 
 QUERIES = {
     "op1_language": language.op1_language,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_line_dedup": line_dedup.op11_line_dedup,
     "op12_divergence": divergence.op12_divergence,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op9_chat": chat.OP9_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
     "op12_divergence": divergence.OP12_SQL,
+    "op13_resampling": resampling.OP13_SQL,
 }
