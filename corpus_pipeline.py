@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import content_sort, language, mixing, near_copies, packing
-from sparkloom.llm.common import Written, table
+from sparkloom.llm.common import Written, passing_steps, table
 
 #: A text whose letters are less than this share in known scripts and its own language is rejected.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -28,7 +28,7 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts in none of the learned languages. Empty and null texts go; repeated rows and
-    very long texts are like others; without any labelled row nothing is known, and all rows go."""
+    very long texts are like others; without any labelled row nothing is known, and all rows go; an empty table gives an empty table."""
     plain, of = _plain(docs)
     model = language.fit(plain, of["doc_id"], of["text"], of["lang"])
     found = language.identify(plain, model, of["text"], misfit=True)
@@ -37,21 +37,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, null being empty, the row with the largest doc_id stays; of rows repeated with it one."""
+    """Of equal texts, null being empty, the row with the largest doc_id stays; of rows repeated with it one. Very long texts
+    are compared whole; an empty table gives an empty table."""
     plain, of = _plain(docs)
     return content_sort.exact_dedup(plain, of["doc_id"], of["text"], keep="largest").filter("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by a five-word Jaccard similarity of 0.8 or more, the row with the smallest doc_id stays
-    (a null one only where there is no other). Null and empty texts are one class; rows alike in doc_id and text stay."""
+    (a null one only where there is no other). Null and empty texts are one class; rows alike in doc_id and text stay; very
+    long texts are compared whole; an empty table gives an empty table."""
     plain, of = _plain(docs)
     return near_copies.one_of_each_class(plain, of["doc_id"], of["text"]).toDF(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it: not at all, once or twice. Null and empty texts have no words and are taken
-    as often as other texts of their source and size; a null source is a source; ties go by doc_id."""
+    as often as other texts of their source and size; a null source is a source; ties go by doc_id; very long texts count
+    with all their words; repeated rows are rows each; an empty table gives an empty table."""
     plain, of = _plain(docs)
     weighed = mixing.mix(plain.withColumn("_body", F.col(of["text"])), of["doc_id"], of["text"], of["source"])  # mix() leaves out the text
     copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
@@ -59,7 +62,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows in token sequences. Null and empty texts have only the end token; equal rows are packed each."""
+    """The pieces of all rows in token sequences. Null and empty texts have only the end token; equal rows are packed each;
+    very long texts are packed whole; an empty table gives an empty table."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -78,7 +82,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        step = Written(stage(spark, docs, sf_dir))
+        with passing_steps() as steps:  # what the stage wrote on its way goes
+            step = Written(stage(spark, docs, sf_dir))
+            steps.remove(step)
         if before:
             before.drop()
         docs, before = step.df, step

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +38,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Written:
     """A step that was written to the shared folder, so that a lost executor costs no recomputation."""
 
+    listed: list[list] = []
+
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/steps/{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        for made in Written.listed:
+            made.append(self)
 
     def drop(self) -> None:
         """For steps that no later plan reads."""
@@ -48,6 +54,19 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def passing_steps() -> Iterator[list[Written]]:
+    """A list of the steps that are written inside; those still in it at the end are dropped."""
+    made: list[Written] = []
+    Written.listed.append(made)
+    try:
+        yield made
+    finally:
+        Written.listed.remove(made)
+        for step in made:
+            step.drop()
+
+
 def written(df: DataFrame) -> DataFrame:
     return Written(df).df
 

@@ -88,17 +88,6 @@ class Ring:
             parts.append(f"transform(if(bit_count({two}) % 2 = 0, array(0L), {flips}), f -> {head} | shiftleft({two} ^ f, 1) | 1L))")
         return nodes.select(F.expr(f"explode(concat({', '.join(parts)}))").alias("key"), F.col(fp).alias("fp"))
 
-    def keys(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, place in `fps` of each): the keys of keyed(), for a task that has the fingerprints."""
-        keys, of, places = [], [], np.arange(len(fps))
-        for i, (s, w) in enumerate(self.segments):
-            s2, w2 = self.segments[(i + 1) % len(self.segments)]
-            one, two = (((fps >> np.uint64(a)) & np.uint64((1 << b) - 1)).astype(np.int64) for a, b in ((s, w), (s2, w2)))
-            head, odd = i << 56 | one << 24, np.bitwise_count(two) % 2 == 1
-            keys += [head | two << 1, (head | two << 1 | 1)[~odd], ((head[odd] | 1)[:, None] | (two[odd][:, None] ^ 1 << np.arange(w2)) << 1).ravel()]
-            of += [places, places[~odd], np.repeat(places[odd], w2)]
-        return np.concatenate(keys), np.concatenate(of)
-
     def linked(self, x: np.ndarray, y: np.ndarray, start: np.ndarray | int) -> np.ndarray:
         """Whether x and y pass every chain from their start on; the last chain is the whole fingerprint."""
         differ = x ^ y

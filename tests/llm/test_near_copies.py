@@ -3,9 +3,10 @@
 from itertools import combinations
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline
-from sparkloom.llm import components, keyed, near_copies, simhash
+from sparkloom.llm import components, keyed, near_copies
 
 from .conftest import prose
 
@@ -82,25 +83,61 @@ def test_large_tables_joins(spark, monkeypatch):
     assert got == plain_stay(rows)
 
 
-def test_pigeonring_finds_without_rare_shingles(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "_rare", lambda own, order: np.zeros(0, np.int64))
-    rows = []
-    for i in range(6):
-        base = prose("en", 400, 700 + i).split()
-        rows += [(10 * i + j, " ".join([*base[: 40 * j], "changed", *base[40 * j + 1 :]])) for j in range(5)]
-    links = near_copies._candidates(spark.createDataFrame(rows, "node long, text string")).collect()
-    assert links and all(r["a"] // 10 == r["b"] // 10 for r in links)
-    # all that are within the ring's distance are connected
-    prints = {i: simhash.majority(iter([s := near_copies.shingles(t)]), len(s)) for i, t in rows}
-    close = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= near_copies.RING]
-    nodes, root = components.roots(*(np.array([r[c] for r in links]) for c in "ab"))
-    root = dict(zip(nodes.tolist(), root.tolist(), strict=True))
-    assert len(close) > 5 and all(root[a] == root[b] for a, b in close)
-
-
-def test_ring_keys_are_those_of_the_plan(spark):
-    ring, prints = simhash.Ring(near_copies.RING), np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64)
-    keys, of = ring.keys(prints)
-    signed = prints.view(np.int64)
-    planned = ring.keyed(spark.createDataFrame([(int(p),) for p in signed], "fp long")).collect()
-    assert sorted((r["key"], r["fp"]) for r in planned) == sorted(zip(keys.tolist(), signed[of].tolist(), strict=True))
+def test_links_come_through_the_chains(spark, monkeypatch):
+    """With no budget nothing is linked, and the stage drops nothing but copies."""
+    rows = [r for r in texts() if r[0] < 2000]
+    docs = spark.createDataFrame([(xxh(t), t) for _, t in rows], "node long, text string")
+    assert near_copies._candidates(docs).count() > 0
+    monkeypatch.setattr(near_copies, "SHORT_DISTANCE", -1)
+    assert near_copies._candidates(docs, -1).count() == 0
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_copies.one_of_each_class(own, distance=-1).count() == len(rows)
+
+
+def xxh(text):
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def test_ring_of_pairs():
+    r = np.random.default_rng(5)
+    x = r.integers(0, 1 << 64, (4000, 2), np.uint64)
+    flips = np.packbits(r.random((4000, 128)) < r.choice([0.1, 0.3, 0.4, 0.5], (4000, 1)), axis=1).view(np.uint64)
+    budget = r.choice([-1, 0, 30, 44, 64], 4000)
+
+    def plain(a, b, most):
+        bits = [(int(p) >> 8 * i & 255).bit_count() for p in a ^ b for i in range(8)]
+        chains = lambda s, n: sum(bits[(s + j) % 16] for j in range(n))
+        return any(all(chains(s, n) <= n * most // 16 for n in range(1, 17)) for s in range(16))
+
+    want = [plain(a, b, int(m)) for a, b, m in zip(x, x ^ flips, budget, strict=True)]
+    got = near_copies.in_ring(x, x ^ flips, budget)
+    assert got.tolist() == want and 100 < sum(want) < 3900
+    # the ring loses no pair within the budget
+    assert got.tolist() == (np.bitwise_count(flips).sum(1) <= budget).tolist()
+
+
+def test_without_fingerprints(spark):
+    rows = texts()
+    got = near_copies.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"), distance=None)
+    assert {r["doc_id"] for r in got.collect()} == plain_stay(rows)
+
+
+def test_long_near_copies_are_compared_few_at_once(spark, monkeypatch):
+    """Blocks by shingles: of a group of texts of 6,000 words a task holds no more than a few."""
+    held = []
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 20_000)
+    whole = near_copies._alike_in
+    monkeypatch.setattr(near_copies, "_alike_in", lambda groups: held.append(groups.groupBy("root", "i", "j").count().agg({"count": "max"}).first()[0]) or whole(groups))
+    base = prose("en", 6000, 31).split()
+    rows = [(k, " ".join([*base[: 50 * k], f"new{k}", *base[50 * k + 1 :]])) for k in range(40)] + [(100, prose("de", 6000, 32))]
+    got = near_copies.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == {0, 100}
+    assert held and max(held) <= 20
+
+
+def test_two_texts_of_one_hash_stay(spark, monkeypatch):
+    rows = texts()[:8]
+    real = near_copies.F.xxhash64
+    monkeypatch.setattr(near_copies.F, "xxhash64", lambda *c: near_copies.F.lit(7).cast("long") if len(c) == 1 else real(*c))
+    got = near_copies.one_of_each_class(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == len(rows)
