@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .functions.arrow import hash_embedding
-from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing
+from .functions.stemming import as_sql as stems_in_sql
+from .functions.words import stopwords
+from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing, tokens
 from .plans import agent, search
 from .steps import small, spread, step
 from .streaming import ingestion
@@ -243,6 +245,36 @@ def snippets(spark, d):
     return first.select("query_id", "doc_id", T.snippet(F.col("text"), F.col("question")).alias("snippet"))
 
 
+# ---- words of many languages: the tables' languages are written in Latin letters, other scripts are in tests
+S_STOPS = "CASE lang " + " ".join(f"WHEN '{lang}' THEN [{', '.join(map(repr, words))}]" for lang, words in stopwords().items()) + " ELSE []::VARCHAR[] END"
+S_FOLD = "translate(replace(lower(w), 'ß', 'ss'), 'ς', 'σ')"
+
+
+def s_tokens(name: str, rows: str) -> str:
+    """name (id, lang, tokens) of a query for (id, lang, text)."""
+    upper = "w = upper(w) AND upper(w) <> lower(w)"
+    return rf"""{name}0 AS (SELECT id, lang, regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+') AS ws, {S_STOPS} AS stops FROM ({rows})),
+{name}1 AS (SELECT *, list_filter(ws, lambda w: regexp_matches(w, '\p{{L}}')) AS lettered FROM {name}0),
+{name}2 AS (SELECT *, len(lettered) >= 4 AND len(list_filter(lettered, lambda w: {upper})) >= 0.8 * len(lettered) AS loud FROM {name}1),
+{name} AS (SELECT id, lang, list_transform(list_filter(ws, lambda w: NOT list_contains(stops, {S_FOLD}) OR ({upper} AND length(regexp_replace(w, '[^\p{{L}}]', '', 'g')) >= 2 AND NOT loud)), lambda w: {S_FOLD}) AS tokens FROM {name}2)"""
+
+
+S_MULTI = s_tokens("mt", "SELECT doc_id AS id, coalesce(lang, 'und') AS lang, text FROM documents")
+
+
+@query(with_(S_MULTI, "mw AS (SELECT id, lang, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS i FROM mt)", "mv AS (SELECT DISTINCT lang, term FROM mw)", f"ms AS ({stems_in_sql('mv')})", "mj AS (SELECT id, string_agg(stem, ' ' ORDER BY i) AS stems FROM mw JOIN ms USING (lang, term) GROUP BY id)") + "SELECT id AS doc_id, lang, array_to_string(tokens, ' ') AS tokens, coalesce(stems, '') AS stems FROM mt LEFT JOIN mj USING (id)")
+def multilingual_tokens(spark, d):
+    rows = tokens.with_stems(step(tokens.tokenized(table(spark, d, "documents"))))
+    return rows.select("doc_id", "lang", F.array_join("tokens", " ").alias("tokens"), F.array_join("stems", " ").alias("stems"))
+
+
+@query(with_(S_MULTI, "mv AS (SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest(tokens) AS term FROM mt) GROUP BY ALL)", f"ms AS ({stems_in_sql('mv')})") + "SELECT lang, stem, count(*) AS words, sum(n)::BIGINT AS n FROM ms JOIN mv USING (lang, term) GROUP BY ALL")
+def stem_frequencies(spark, d):
+    """How many words and places each stem has: counted by word, and each distinct word is stemmed once."""
+    counts = tokens.tokenized(table(spark, d, "documents")).select("lang", F.explode("tokens").alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    return tokens.stem_table(counts).groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
+
+
 # ---- index features
 @query(with_(S_WORDS, S_TF0) + "SELECT term, count(*) AS df, round(ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + count(*))) + 1, 6) AS idf FROM tf GROUP BY term")
 def doc_frequency_idf(spark, d):
@@ -415,6 +447,22 @@ def expansion_topk(spark, d):
     return expanded(spark, d).select("query_id", "term", r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
+S_QS = ", ".join([s_tokens("qk", "SELECT item_id AS id, 'en' AS lang, text FROM benchmark"), "qu AS (SELECT id AS query_id, lang, unnest(tokens) AS term FROM qk)", "gt AS (SELECT 'en' AS lang, src AS term FROM gr UNION SELECT 'en', dst FROM gr UNION SELECT lang, term FROM qu)", f"gs AS ({stems_in_sql('gt')})",
+    "qs AS (SELECT DISTINCT query_id, stem FROM qu JOIN gs USING (lang, term))", "qb AS (SELECT DISTINCT query_id, gs.term FROM qs JOIN gs USING (stem) WHERE gs.term IN (SELECT src FROM gr UNION SELECT dst FROM gr))"])
+S_QEXP = S_ACT.replace("JOIN qt ON qt.query_id = rt.query_id AND qt.term = g.src", "JOIN qb ON qb.query_id = rt.query_id AND qb.term = g.src") + ", " + S_EXP.replace("count(DISTINCT term)) AS cap FROM qt", "count(DISTINCT stem)) AS cap FROM qs").replace("FROM qt WHERE qt.query_id = a.query_id AND qt.term = a.term", "FROM qb WHERE qb.query_id = a.query_id AND qb.term = a.term")
+
+
+@query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_GRAPH, S_Q, S_QT, S_SPARSE, S_ROUTED, S_QS, S_QEXP) + "SELECT query_id, term, round(score, 6) AS score, rank FROM exps")
+def question_expansion(spark, d):
+    """Expansions of a question from its stems: they reach the graphs' terms by the stems of those."""
+    own, stems = graph(spark, d), step(tokens.question_stems(questions(spark, d)))
+    terms = own.select(F.col("src").alias("term")).union(own.select("dst"))
+    reached = step(tokens.bridged(stems, terms))
+    ubiquity = features.ubiquity(own.select("shard_id", F.col("src").alias("term")), shards(spark, d).select("shard_id").distinct().count())
+    found = routing.expansions(routing.activated(reached, own, routed_shards(spark, d)), reached, ubiquity, counted=stems.withColumnRenamed("stem", "term"))
+    return found.select("query_id", "term", r6("score"), F.col("rank").cast("long").alias("rank"))
+
+
 S_SEL = """qv AS (SELECT doc_id AS query_id, v FROM vec WHERE doc_id % 20 = 0),
 sd AS (SELECT q.query_id, c.shard_id, round(list_inner_product(q.v, c.v) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))), 9) AS score, 'dense' AS ranker FROM qv q, cent c),
 ls AS (SELECT * FROM sd UNION ALL SELECT query_id, shard_id, round(score, 9), 'lexical' FROM sps),
