@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .functions.arrow import hash_embedding
 from .functions.stemming import as_sql as stems_in_sql
 from .functions.words import stopwords
-from .operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing, tokens
+from .operators import artifacts, bm25, features, ingest, intents, metrics, pagerank, ranking, reranking, routing, tokens
 from .plans import agent, search
 from .steps import small, spread, step
 from .streaming import ingestion
@@ -400,14 +400,25 @@ def zipf_restart_and_rank_weights(spark, d):
 
 @query(with_(S_VEC, S_CENT) + ", p AS (SELECT a.shard_id AS a, b.shard_id AS b, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) AS w FROM cent a JOIN cent b ON a.shard_id <> b.shard_id) SELECT a, b, round(w, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM p WHERE w > 0) WHERE r <= 3")
 def shard_knn_graph(spark, d):
-    return routing.neighbour_graph(V.mean_vectors(vectors(spark, d), "shard_id", "v"), 3).select("a", "b", r6("weight"))
+    return search.neighbour_graph(V.mean_vectors(vectors(spark, d), "shard_id", "v"), 3).select("a", "b", r6("weight"))
 
 
-@query()
+S_WALK = """ed AS (SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM kn UNION ALL SELECT b, a, w FROM kn) GROUP BY ALL),
+es AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS share FROM ed),
+lo AS (SELECT shard_id FROM cent WHERE shard_id NOT IN (SELECT a FROM es)),
+rs AS (SELECT shard_id, (1.0 / (shard_id + 1)) / (SELECT sum(1.0 / (shard_id + 1)) FROM cent) AS r FROM cent),
+pr AS (SELECT 0 AS i, shard_id, r AS p FROM rs UNION ALL
+  SELECT n.i + 1, n.shard_id, 0.85 * (n.came + n.loose * rs.r) + 0.15 * rs.r FROM (
+    SELECT max(pr.i) AS i, t.shard_id, sum(CASE WHEN es.b = t.shard_id THEN pr.p * es.share ELSE 0 END) AS came, sum(CASE WHEN es.a IS NULL AND t.shard_id IS NOT NULL THEN pr.p ELSE 0 END) AS loose
+    FROM pr LEFT JOIN es ON es.a = pr.shard_id CROSS JOIN rs t GROUP BY t.shard_id) n JOIN rs USING (shard_id) WHERE n.i < 180)"""
+S_KNN = "kn0 AS (SELECT a.shard_id AS a, b.shard_id AS b, round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 9) AS w FROM cent a JOIN cent b ON a.shard_id <> b.shard_id), kn AS (SELECT a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM kn0 WHERE w > 0) WHERE r <= 8)"
+
+
+@query(with_(S_VEC, S_CENT, S_KNN, S_WALK).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT shard_id, round(p, 9) AS score FROM pr WHERE i = 180")
 def pagerank_scores(spark, d):
-    own = V.mean_vectors(vectors(spark, d), "shard_id", "v")
+    own = step(V.mean_vectors(vectors(spark, d), "shard_id", "v"))
     prior = ranking.restart_mass(own.select("shard_id", (F.col("shard_id") + 1).alias("rnk")), [])
-    return routing.pagerank(routing.neighbour_graph(own), prior)
+    return pagerank.pagerank(search.neighbour_graph(own), prior).select("shard_id", F.round("score", 9).alias("score"))
 
 
 def routed_shards(spark, d) -> DataFrame:
@@ -501,6 +512,54 @@ def compression_gain(spark, d):
     return artifacts.compression_gains(artifacts.dictionaries(members), questions(spark, d).select("query_id", "question"))
 
 
+# ---- reranking of the shards that a question was routed to
+def candidate_shards(spark, d) -> DataFrame:
+    placed = ranking.ranked(sparse_ranked(spark, d).withColumn("score", F.round("score", 9)), ["query_id"], "score", "shard_id", name="pos")
+    return placed.filter("pos <= 6").select("query_id", "shard_id", "pos")
+
+
+S_RERANK = """ca AS (SELECT query_id, shard_id, pos FROM (SELECT query_id, shard_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, shard_id) AS pos FROM sps) WHERE pos <= 6),
+cq AS (SELECT query_id, count(DISTINCT term) AS n FROM qt GROUP BY query_id),
+cs AS (SELECT ca.query_id, ca.shard_id, ca.pos, 'coverage' AS ranker, coalesce(c.hits / n, 0) AS score FROM ca JOIN cq USING (query_id) LEFT JOIN (SELECT query_id, shard_id, count(*) AS hits FROM qt JOIN kw USING (term) GROUP BY ALL) c ON c.query_id = ca.query_id AND c.shard_id = ca.shard_id),
+cp AS (SELECT x.query_id, x.shard_id AS a, y.shard_id AS b, round(list_inner_product(u.v, w.v) / (sqrt(list_inner_product(u.v, u.v)) * sqrt(list_inner_product(w.v, w.v))), 9) AS w
+  FROM ca x JOIN ca y ON x.query_id = y.query_id AND x.shard_id <> y.shard_id JOIN cent u ON u.shard_id = x.shard_id JOIN cent w ON w.shard_id = y.shard_id),
+ck AS (SELECT query_id, a, b, w FROM (SELECT *, row_number() OVER (PARTITION BY query_id, a ORDER BY w DESC, b) AS r FROM cp WHERE w > 0) WHERE r <= 8),
+ce AS (SELECT query_id, a, b, max(w) AS w FROM (SELECT query_id, a, b, w FROM ck UNION ALL SELECT query_id, b, a, w FROM ck) GROUP BY ALL),
+cw AS (SELECT query_id, a, b, w / sum(w) OVER (PARTITION BY query_id, a) AS share FROM ce),
+cr AS (SELECT query_id, shard_id, (1.0 / pos) / sum(1.0 / pos) OVER (PARTITION BY query_id) AS r FROM ca),
+cy AS (SELECT 0 AS i, query_id, shard_id, r AS y FROM cr UNION ALL
+  SELECT max(i) + 1, query_id, shard_id, sum(y) FROM (
+    SELECT i, cy.query_id, b AS shard_id, 0.85 * y * share AS y FROM cy JOIN cw ON cw.query_id = cy.query_id AND cw.a = cy.shard_id
+    UNION ALL SELECT m.i, cr.query_id, cr.shard_id, r FROM cr, (SELECT max(i) AS i FROM cy) m) WHERE i < 180 GROUP BY query_id, shard_id),
+cz AS (SELECT query_id, shard_id, y / sum(y) OVER (PARTITION BY query_id) AS score FROM cy WHERE i = 180),
+ra AS (SELECT query_id, shard_id, pos, ranker, round(score, 9) AS score FROM cs UNION ALL SELECT ca.query_id, ca.shard_id, pos, 'pagerank', round(score, 9) FROM ca JOIN cz USING (query_id, shard_id)),
+rf AS (SELECT query_id, ranker FROM ra GROUP BY ALL HAVING count(*) >= 2 AND max(score) - min(score) > 1e-12),
+rr AS (SELECT query_id, shard_id, ranker, row_number() OVER (PARTITION BY query_id, ranker ORDER BY score DESC, pos, shard_id) AS rnk FROM ra JOIN rf USING (query_id, ranker) UNION ALL SELECT query_id, shard_id, 'stage5', pos FROM ca),
+ru AS (SELECT query_id, shard_id, sum(1.0 / (60 + rnk)) AS score, string_agg(ranker, ',' ORDER BY ranker) AS voted FROM rr GROUP BY ALL)"""
+
+
+@query(with_(S_WORDS, S_SHARD, S_TF, S_KW, S_Q, S_QT, S_SPARSE, S_VEC, S_CENT, S_RERANK).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT query_id, shard_id, round(score, 8) AS score, voted, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, shard_id::VARCHAR) AS rank FROM ru")
+def shard_rerank_fusion(spark, d):
+    """The order of the route, what of a question a shard's keywords cover, and PageRank among the candidates."""
+    chosen = step(candidate_shards(spark, d))
+    covered = artifacts.exact_coverage(shard_keywords(spark, d).select("shard_id", F.col("term").alias("phrase")), question_terms(spark, d).select("query_id", F.col("term").alias("phrase")))
+    scores = covered.select("query_id", "shard_id", F.col("coverage").alias("score"), F.lit("coverage").alias("ranker")).unionByName(reranking.walk_scores(chosen, V.mean_vectors(vectors(spark, d), "shard_id", "v")))
+    fused = reranking.reranked(chosen, scores.withColumn("score", F.round("score", 9)))
+    return fused.select("query_id", "shard_id", F.round("score", 8).alias("score"), F.array_join(F.array_sort(F.map_keys("contributions")), ",").alias("voted"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def shard_rerank(spark, d):
+    """The route's order with phrase filters, compression gain and PageRank."""
+    chosen = step(candidate_shards(spark, d))
+    filters = artifacts.blooms(shard_keywords(spark, d).select("shard_id", F.col("term").alias("phrase")))
+    members = table(spark, d, "documents").join(shards(spark, d), "doc_id").select("shard_id", "doc_id", "text")
+    phrases = question_intents(spark, d).select("query_id", F.col("intent").alias("phrase"))
+    scores = reranking.all_scores(chosen, filters, artifacts.dictionaries(members), V.mean_vectors(vectors(spark, d), "shard_id", "v"), questions(spark, d).select("query_id", "question"), phrases)
+    fused = reranking.reranked(chosen, step(scores))
+    return fused.select("query_id", "shard_id", F.round("score", 8).alias("score"), F.array_join(F.array_sort(F.map_keys("contributions")), ",").alias("voted"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---- retrieval
 def best_by_words(docs: DataFrame, asked: DataFrame, by: list[str], most: int = 10) -> DataFrame:
     got = bm25.scores_of_words(docs, asked).withColumn("_s", F.round("score", 9))
@@ -535,7 +594,7 @@ def document_words(spark, d) -> DataFrame:
 
 def hybrid_lists(spark, d) -> DataFrame:
     lexical = bm25.scores_of_words(shard_words(spark, d), document_words(spark, d)).filter("query_id <> doc_id").withColumn("ranker", F.lit("lexical"))
-    return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d), among_rows=True).withColumn("ranker", F.lit("dense")))
+    return lexical.unionByName(search.similarities(vectors(spark, d), dense_questions(spark, d), 100, among_rows=True).withColumn("ranker", F.lit("dense")))
 
 
 S_FUSE = """rk AS (SELECT *, row_number() OVER (PARTITION BY {by}, ranker ORDER BY round(score, 9) DESC, doc_id) AS rnk FROM both_),

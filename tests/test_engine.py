@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import arrow, vectors
 from sparkloom.functions import text as T
-from sparkloom.operators import artifacts, bm25, features, ingest, intents, metrics, ranking, routing
+from sparkloom.operators import artifacts, bm25, features, ingest, intents, metrics, pagerank, ranking, routing
 from sparkloom.plans import agent, config, pipelines, search
 from sparkloom.sources import index_store, records
 from sparkloom.streaming import ingestion
@@ -90,7 +90,7 @@ def test_expansion_rules(spark):
 def test_pagerank(spark):
     graph = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0)], "a int, b int, weight double")
     prior = spark.createDataFrame([(0, 1.0), (1, 1.0), (2, 1.0), (3, 1.0)], "shard_id int, mass double")
-    got = {r["shard_id"]: r["score"] for r in routing.pagerank(graph, prior).collect()}
+    got = {r["shard_id"]: r["score"] for r in pagerank.pagerank(graph, prior).collect()}
     assert sum(got.values()) == pytest.approx(1) and got[1] > got[0] == pytest.approx(got[2]) and got[3] < got[0]
 
 
