@@ -16,6 +16,7 @@ from .functions.stemming import as_sql as stems_in_sql
 from .functions.words import stopwords
 from .operators import artifacts, bm25, features, ingest, intents, metrics, pagerank, ranking, reranking, routing, tokens
 from .plans import agent, search
+from .plans.config import Settings
 from .steps import small, spread, step
 from .streaming import ingestion
 
@@ -699,9 +700,25 @@ def min_max_mean(spark, d):
     return ranking.scaled_mean(table(spark, d, "events"), ["user_id"], "value").select("user_id", r6("scaled_mean"))
 
 
+def index_tables(spark, d) -> dict[str, DataFrame]:
+    """An index of the tables: shards as given, vectors from hashed words as in an index that is built from texts."""
+    placed = table(spark, d, "documents").join(small(shards(spark, d)), "doc_id")
+    keywords = shard_keywords(spark, d)
+    own = indexed("hashed", spark, d, lambda: shard_words(spark, d).select("doc_id", "shard_id", hash_embedding(F.col("words"), 64).alias("v")))
+    filters = artifacts.blooms(keywords.select("shard_id", F.col("term").alias("phrase")))
+    return {
+        "documents": table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.derive_title(T.clean(F.col("text"))).alias("title"), "text"), "members": shards(spark, d), "keywords": keywords,
+        "vectors": own, "postings": shard_tf(spark, d), "graph": graph(spark, d), "shards": indexed("hashed_centroids", spark, d, lambda: V.mean_vectors(own, "shard_id", "v")),
+        "blooms": indexed("blooms", spark, d, lambda: filters), "dictionaries": indexed("dictionaries", spark, d, lambda: artifacts.dictionaries(placed.select("shard_id", "doc_id", "text"))),
+    }
+
+
 @query()
 def agent_search(spark, d):
-    return agent.explored(spark, d)
+    nodes, results = agent.search(index_tables(spark, d), questions(spark, d).select("query_id", "question"), Settings())
+    won = results.select("query_id", F.col("winner").alias("_node"), "stop_reason", "digest")
+    rows = nodes.join(won, "query_id").withColumn("winner", F.col("node") == F.col("_node"))
+    return rows.select("query_id", "node", "parent", "stage", "origin", F.col("text").alias("wording"), F.array_join("expansions", " ").alias("expansions"), F.array_join("shards", " ").alias("shards"), "reward", "visits", "mean", "uct", "winner", "stop_reason", "digest")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import arrow, vectors
 from sparkloom.functions import text as T
 from sparkloom.operators import artifacts, bm25, features, ingest, intents, metrics, pagerank, ranking, routing
-from sparkloom.plans import agent, config, pipelines, search
+from sparkloom.plans import config, pipelines, search
 from sparkloom.sources import index_store, records
 from sparkloom.streaming import ingestion
 
@@ -210,14 +210,6 @@ def test_coherence_needs_no_pairs(spark):
         assert r["intra"] == pytest.approx((inside.sum() - own.sum()) / (own.sum() * (own.sum() - 1))) and r["inter"] == pytest.approx(sims[np.ix_(own, ~own)].mean())
 
 
-def test_tree_nodes():
-    root = agent.Node(0)
-    child = agent.Node(1, root)
-    child.learn(0.5)
-    assert (root.visits, root.mean, child.mean) == (1, 0.5, 0.5)
-    assert child.uct() == pytest.approx(0.5 + 1.4 * math.sqrt(math.log(2) / 2)) and agent.Node(2, root).uct() == pytest.approx(1.4 * math.sqrt(math.log(2)))
-
-
 def test_settings(tmp_path):
     path = tmp_path / "settings.json"
     path.write_text('{"corpus.languages": ["en"], "fusion.k": 7}')
