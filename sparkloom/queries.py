@@ -14,7 +14,7 @@ from .functions import vectors as V
 from .functions.arrow import hash_embedding
 from .functions.stemming import as_sql as stems_in_sql
 from .functions.words import stopwords
-from .operators import artifacts, bm25, features, ingest, intents, metrics, pagerank, ranking, reranking, routing, tokens
+from .operators import artifacts, bm25, features, ingest, intents, language, metrics, pagerank, ranking, reranking, routing, tokens
 from .plans import agent, search
 from .plans.config import Settings
 from .steps import small, spread, step
@@ -276,6 +276,38 @@ def stem_frequencies(spark, d):
     return tokens.stem_table(counts).groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n"))
 
 
+# ---- the language step
+def s_grams(name: str, rows: str) -> str:
+    """name (id, gram, n) of a query for (id, text)."""
+    return rf"""{name}0 AS (SELECT id, '_' || w || '_' AS p, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+')) AS w FROM ({rows})) GROUP BY ALL),
+{name} AS (SELECT id, gram, sum(n)::BIGINT AS n FROM (SELECT id, n, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, length(p) - k + 2), lambda i: substr(p, i, k))))) AS gram FROM {name}0) WHERE gram <> '_' GROUP BY ALL)"""
+
+
+def s_ranked(name: str, of: str) -> str:
+    return f"{name} AS (SELECT id, gram, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, gram) AS rank FROM {of}) WHERE rank <= 300)"
+
+
+S_PROFILES = ", ".join([s_grams("lg", "SELECT lang AS id, text FROM documents WHERE lang IS NOT NULL AND doc_id % 2 = 1"), s_ranked("lp", "lg")])
+
+
+def learned_profiles(spark, d) -> DataFrame:
+    """Of the documents with odd numbers, so that the others show how well they do."""
+    return indexed("profiles", spark, d, lambda: language.profiles(table(spark, d, "documents").filter("doc_id % 2 = 1")))
+
+
+@query(with_(S_PROFILES) + "SELECT id AS lang, gram, rank FROM lp")
+def language_profiles(spark, d):
+    return learned_profiles(spark, d).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(with_(S_PROFILES, s_grams("dg", "SELECT doc_id AS id, text FROM documents"), s_ranked("dp", "dg")) + """, dn AS (SELECT id, count(*) AS n FROM dp GROUP BY id),
+me AS (SELECT dp.id, lp.id AS lang, sum(300 - least(300, abs(dp.rank - lp.rank))) AS near FROM dp JOIN lp USING (gram) GROUP BY ALL),
+be AS (SELECT id, lang, near FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY near DESC, lang) AS r FROM me) WHERE r = 1)
+SELECT doc_id, CASE WHEN n >= 12 AND near > 0 THEN be.lang ELSE 'und' END AS language, round(CASE WHEN n >= 12 AND near > 0 THEN near / (n * 300) ELSE 0 END, 6) AS confidence FROM documents LEFT JOIN dn ON dn.id = doc_id LEFT JOIN be ON be.id = doc_id""")
+def language_detection(spark, d):
+    return language.detected(table(spark, d, "documents"), learned_profiles(spark, d)).select("doc_id", "language", r6("confidence"))
+
+
 # ---- index features
 @query(with_(S_WORDS, S_TF0) + "SELECT term, count(*) AS df, round(ln((1 + (SELECT count(DISTINCT doc_id) FROM tf)) / (1 + count(*))) + 1, 6) AS idf FROM tf GROUP BY term")
 def doc_frequency_idf(spark, d):
