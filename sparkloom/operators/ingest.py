@@ -10,14 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, derive_title, record_id
 
 
-def normalize_rows(rows: DataFrame, field_map: Mapping[str, str], prefix: str, least_chars: int = 32, order_by: str | None = None, language: str | None = None) -> DataFrame:
-    """Documents (id, title, text, url, language, metadata) from rows whose columns `field_map` names for text, title,
-    url and language; the others become metadata.
-
-    Text is cleaned and shorter ones dropped; the identifier is a digest of the url, or else of the text. Of rows with
-    one identifier the first in `order_by` stays (or the smallest text). Result in order of identifier is left to
-    the caller.
-    """
+def mapped_rows(rows: DataFrame, field_map: Mapping[str, str], prefix: str, least_chars: int = 32, order_by: str | None = None, language: str | None = None) -> DataFrame:
+    """normalize_rows row by row: rows with one identifier all stay, with _order to choose by. Takes streams too."""
     if field_map["text"] not in rows.columns:
         raise ValueError(f"no column {field_map['text']!r} for text")
     given = {k: clean(F.col(v)) for k, v in field_map.items() if v in rows.columns}
@@ -26,10 +20,21 @@ def normalize_rows(rows: DataFrame, field_map: Mapping[str, str], prefix: str, l
     metadata = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
     text, url = given["text"], F.nullif(given.get("url", F.lit("")), F.lit(""))
     title = F.nullif(given.get("title", F.lit("")), F.lit(""))
-    made = rows.select(
+    return rows.select(
         record_id(prefix, F.coalesce(url, text)).alias("id"), F.coalesce(title, derive_title(text)).alias("title"), text.alias("text"), url.alias("url"),
         F.nullif(given.get("language", F.lit(language or "")), F.lit("")).alias("language"), metadata.alias("metadata"), (F.col(order_by) if order_by else text).alias("_order"),
     ).filter(F.length("text") >= least_chars)
+
+
+def normalize_rows(rows: DataFrame, field_map: Mapping[str, str], prefix: str, least_chars: int = 32, order_by: str | None = None, language: str | None = None) -> DataFrame:
+    """Documents (id, title, text, url, language, metadata) from rows whose columns `field_map` names for text, title,
+    url and language; the others become metadata.
+
+    Text is cleaned and shorter ones dropped; the identifier is a digest of the url, or else of the text. Of rows with
+    one identifier the first in `order_by` stays (or the smallest text). Result in order of identifier is left to
+    the caller.
+    """
+    made = mapped_rows(rows, field_map, prefix, least_chars, order_by, language)
     first = Window.partitionBy("id").orderBy("_order", "text")
     return made.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_order")
 

@@ -756,3 +756,10 @@ def agent_search(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     return ingestion.windowed(table(spark, d, "events"))
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    return ingestion.sessions(table(spark, d, "events"))

@@ -27,6 +27,6 @@ def test_same_rows(spark, other, name):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
-@pytest.mark.parametrize("name", ["snippets", "hash_embeddings", "harmonic_intents", "intent_scan", "pagerank_scores", "bloom_coverage", "compression_gain"])
+@pytest.mark.parametrize("name", ["snippets", "hash_embeddings", "harmonic_intents", "intent_scan", "shard_rerank", "bloom_coverage", "compression_gain"])
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, DIR).count() > 0
