@@ -3,8 +3,9 @@
 A page is a sequence of blocks, each with the path of elements from the root. Text length and sentence marks are summed
 by path and divided by the number of its blocks; the ratios are smoothed along the page with a Gaussian and fused by
 multiplication, and paths above a share of the page's best are content. What an element is called (nav, class="related")
-only lowers the ratio of its paths, and not even that if it holds nearly all text or the page's article. Content blocks name
-the element that holds most of their text; its headings and short blocks belong to the text as well, those outside do not.
+is a factor on the ratio of its paths, and not even that if it holds nearly all text or the page's article. Content blocks
+name the element that holds most of their text. All in it belongs to the text, also headings, short blocks and links, except
+blocks whose names lower their ratio below that share; what is outside does not belong.
 """
 
 from __future__ import annotations
@@ -26,18 +27,16 @@ from .common import free_name, table
 PATH_SHARE, HOLDER_SHARE, ARTICLE_SHARE = 0.12, 0.8, 0.5
 #: Weights of the Gaussian for a block and its neighbours at distances 1 and 2.
 SMOOTH = (0.5, 0.2, 0.05)
-#: A block with more than this share of its characters in links is a menu.
-LINK_SHARE = 0.6
-#: What names leave of a ratio: of an element for boilerplate, of a class or id for it, of one that has such a part. A block
-#: left with less than FLAGGED is not content.
-BY_TAG, BY_NAME, BY_PART, FLAGGED = 0.1, 0.2, 0.5, 0.3
+#: What names leave of a ratio: of an element for boilerplate; of a class or id for text that is not the page's, however long
+#: it is; of one for what is mostly links, which prose outweighs; of one that has such a part.
+BY_TAG, BY_NAME, BY_LINKS, BY_PART = 0.1, 0.1, 0.4, 0.5
 #: An element with this share of the page's text is not boilerplate whatever its class; nor is a form then.
 MOST_TEXT = 0.9
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/)?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(?P<end2>/)?(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attributes2>[^<>]*+)(?:>|(?=<)|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 #: Elements without text of the page.
-_RAW = frozenset("script style noscript template textarea title iframe svg object canvas xmp button select datalist audio video".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg object canvas button select datalist audio video".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FORMS = frozenset(("form", "fieldset"))
 _WEAK = frozenset("nav header footer aside form fieldset dialog menu".split())
@@ -53,6 +52,8 @@ _NAMES = frozenset(
     "ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices notification overlay pagination paywall popup promo promoted promotion related recommended share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Of these, names of what is mostly links or short, and which are words of articles too.
+_LINKS = frozenset("banner header login menu menus notice notices notification overlay pagination related recommended share sharing social toolbar widget widgets".split())
 #: In a name of two parts these say little.
 _VAGUE = frozenset("header widget widgets notice notices login paywall".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -74,7 +75,7 @@ def _factor(tag: str, attributes: str) -> float:
                 named = [x for x in parts if x in _NAMES]
                 if named:
                     whole = len(named) == len(parts) or len(parts) == 2 and named[0] not in _VAGUE
-                    factor = min(factor, BY_NAME if whole else BY_PART)
+                    factor = min(factor, (BY_LINKS if set(named) <= _LINKS else BY_NAME) if whole else BY_PART)
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             factor = min(factor, BY_TAG)
     return factor
@@ -155,6 +156,13 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, float]]]:
                 if tag in _INLINE and stack[i][0] not in _INLINE:
                     break
             continue
+        if tag == "xmp":  # text as it is
+            end = re.compile(r"</xmp\b[^>]*>", re.I).search(page, at)
+            flush()
+            say(html.escape(page[at : end.start() if end else size]))
+            flush()
+            at = end.end() if end else size
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -194,8 +202,9 @@ def evidence(own: list[Block], elements: list[tuple[str, float]]) -> list[float]
     return [min((factors[e] for e in b.elements), default=1.0) for b in own]
 
 
-def ratios(own: list[Block]) -> dict[str, float]:
-    """The fused ratio of each path: mean text length and sentence marks of its blocks, smoothed along the page."""
+def ratios(own: list[Block]) -> tuple[dict[str, float], dict[str, float]]:
+    """The fused ratio of each path: mean text length and sentence marks of its blocks, smoothed along the page; and the same
+    without smoothing."""
     sums: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
     for b in own:
         s = sums[b.path]
@@ -213,7 +222,7 @@ def ratios(own: list[Block]) -> dict[str, float]:
     fused: dict[str, float] = defaultdict(float)
     for b, x, y, raw in zip(own, smooth(lengths), smooth(marks), lengths, strict=True):
         fused[b.path] = max(fused[b.path], (x * (1 + y)) ** 0.5 * raw**0.5)
-    return fused
+    return fused, {b.path: (x * (1 + y)) ** 0.5 * x**0.5 for b, x, y in zip(own, lengths, marks, strict=True)}
 
 
 def main_text(page: str | None) -> str:
@@ -221,12 +230,11 @@ def main_text(page: str | None) -> str:
     own, elements = blocks(page or "")
     if not own:
         return ""
-    fused, left = ratios(own), evidence(own, elements)
-    menu = [len(b.text) < b.links / LINK_SHARE for b in own]
-    scores = [fused[b.path] * f for b, f in zip(own, left, strict=True)]
-    usable = [f >= FLAGGED and not m for f, m in zip(left, menu, strict=True)]
-    best = max((s for s, u in zip(scores, usable, strict=True) if u), default=0.0)
-    chosen = [u and s > 0 and s >= PATH_SHARE * best for s, u in zip(scores, usable, strict=True)]
+    (fused, alone), left = ratios(own), evidence(own, elements)
+    least = PATH_SHARE * max(fused[b.path] for b in own)
+    # a name that speaks against a block is not outweighed by the text around it
+    high = [(fused[b.path] if f >= BY_PART else min(fused[b.path], alone[b.path])) * f >= least > 0 for b, f in zip(own, left, strict=True)]
+    chosen = list(high)
     if not any(chosen):
         return ""
     content = sum(len(b.text) for b, c in zip(own, chosen, strict=True) if c)
@@ -245,19 +253,21 @@ def main_text(page: str | None) -> str:
     strict = elements[holder][0] in _ARTICLE
     for i, b in enumerate(own):
         if holder in b.elements:
-            chosen[i] = usable[i]
-        elif strict or not b.heading and fused[b.path] < 0.5 * best:
+            # without an article around them, paths that are links only are menus
+            chosen[i] = high[i] or left[i] >= BY_PART and (strict or b.heading or fused[b.path] > 0)
+        elif strict or not b.heading and fused[b.path] < 4 * least:
             chosen[i] = False
     # headings right before the element's text
     first = next(i for i, b in enumerate(own) if holder in b.elements)
-    while first and own[first - 1].heading and usable[first - 1]:
+    while first and own[first - 1].heading and left[first - 1] >= BY_PART:
         first -= 1
         chosen[first] = True
     return "\n".join(b.text for b, c in zip(own, chosen, strict=True) if c)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """`pages` without the html, with text and n_chars (code points). Null and empty pages have an empty text."""
+    """`pages` without the html, with text and n_chars (code points). Null and empty pages have an empty text,
+    an empty table gives an empty table, repeated rows are rows each, and very long pages are read whole."""
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

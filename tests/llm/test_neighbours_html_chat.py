@@ -126,6 +126,35 @@ def test_names_are_only_evidence(body, lines):
     assert main_text(f"<html><body>{body}</body></html>") == "\n".join(x.strip() for x in lines)
 
 
+@pytest.mark.parametrize(
+    ("inside", "lines"),
+    [
+        ("<p><a href=x>Read the full report of the committee, published today.</a></p>", ["Read the full report of the committee, published today."]),
+        ("<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul>", ["Source one", "Source two"]),
+        (f"<section id='social-policy'><p>{LONG}</p></section>", [LONG]),
+        (f"<div class='share-price'><p>{LONG[:140]}</p></div>", [LONG[:140]]),
+        (f"<p class='related'>{LONG}</p>", [LONG]),
+        ("<xmp>a <b> &amp; c</xmp>", ["a <b> &amp; c"]),
+        # and what the same names mean elsewhere
+        ("<section id='social-links'><a href=1>One</a> <a href=2>Two</a></section>", []),
+        ("<div class='share'><p>Tell others.</p></div>", []),
+        ("<div class='related'><ul><li><a href=1>Another post, which is not this one.</a></li></ul></div>", []),
+        (f"<div class='comments'><p>{LONG}</p></div><aside><p>{LONG}</p></aside><nav><a href=x>Home</a></nav>", []),
+        (f"<div class='newsletter-signup'><p>{LONG[:60]}</p></div><div class='cookie-notice'>{LONG}</div>", []),
+    ],
+)
+def test_article_keeps_its_text(inside, lines):
+    page_html = f"<body><nav><a href=1>Home</a></nav><article><h1>T</h1><p>{LONG}</p>{inside}<p>{LONG}</p><p>End.</p></article><footer>f, g.</footer></body>"
+    assert main_text(page_html) == "\n".join(x.strip() for x in ["T", LONG, *lines, LONG, "End."])
+
+
+def test_ratios_are_needed(monkeypatch):
+    """With one ratio for all paths names alone would decide, and prose of such a name would go or its links stay."""
+    monkeypatch.setattr(html_text, "ratios", lambda own: ({b.path: 1.0 for b in own}, {b.path: 1.0 for b in own}))
+    pages = [f"<article><p>{LONG}</p>{x}</article>" for x in ("<div class='share'><p>Tell others.</p></div>", f"<p class='related'>{LONG}</p>")]
+    assert not (main_text(pages[0]) == LONG.strip() and main_text(pages[1]).count("\n"))
+
+
 def test_ratios_decide_without_class_names(monkeypatch):
     """Without the list of class names the given pages keep their articles, and nothing else."""
     monkeypatch.setattr(html_text, "_NAMES", frozenset())
@@ -141,7 +170,7 @@ def test_ratios_against_brute_force():
     of = {p: [b for b in own if b.path == p] for p in {b.path for b in own}}
     length = [sum(len(b.text) - b.links for b in of[x.path]) / len(of[x.path]) for x in own]
     marks = [sum(sum(c in ".,;:!?" for c in b.text) for b in of[x.path] if len(b.text) > b.links) / len(of[x.path]) for x in own]
-    got, want = html_text.ratios(own), {}
+    got, want = html_text.ratios(own)[0], {}
     for i, b in enumerate(own):
         x, y = (sum({0: 0.5, 1: 0.2, 2: 0.05}[abs(i - j)] * v[j] for j in range(len(own)) if abs(i - j) < 3) for v in (length, marks))
         want[b.path] = max(want.get(b.path, 0), (x * (1 + y) * length[i]) ** 0.5)
