@@ -64,11 +64,14 @@ def bounded(rows: DataFrame, centers: np.ndarray, capacity: int, rounds: int = R
     if total > capacity * k:
         raise ValueError(f"{total} rows do not fit into {k} clusters of {capacity}")
     centers, prices = unit_rows(centers.astype(float)), np.zeros(k)
+    least, since = total + 1, 0
     for _ in range(rounds):
         chosen = _priced(rows, centers, prices)
         sizes = dict(chosen.groupBy("cluster").count().collect())
         over = {j: (n - capacity) / n for j, n in sizes.items() if n > capacity}
-        if sum(sizes[j] - capacity for j in over) <= STILL * total:
+        excess = sum(sizes[j] - capacity for j in over)
+        least, since = (excess, 0) if excess < least else (least, since + 1)
+        if excess <= STILL * total or since == 6:  # equal rows change places together, and no price parts them
             break
         # the margin of the last row that is too many, by cluster
         share = F.element_at(F.create_map(*(F.lit(x) for j, s in over.items() for x in (j, float(s)))), F.col("cluster"))
