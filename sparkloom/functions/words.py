@@ -89,10 +89,18 @@ def content(words: Column, lang: Column, least: int = 1) -> Column:
     upper = lambda w: (w == F.upper(w)) & (F.upper(w) != F.lower(w))
     lettered = F.filter(words, lambda w: w.rlike(r"\p{L}"))
     loud = (F.size(lettered) >= 4) & (F.size(F.filter(lettered, upper)) >= 0.8 * F.size(lettered))
-    # one literal for a language, looked up once a row
-    stops = F.coalesce(*(F.when(lang == name, F.array(*map(F.lit, listed))) for name, listed in stopwords().items()), F.array().cast("array<string>"))
-    stay = lambda w: (F.length(folded(w)) >= least) & (~F.array_contains(stops, folded(w)) | (upper(w) & (F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2) & ~loud))
-    return F.transform(F.filter(words, stay), folded)
+
+    def stay(row: Column, w: Column) -> Column:
+        stop = F.lit(False)
+        for name, listed in stopwords().items():
+            stop = stop | ((row["lang"] == name) & w["f"].isin(*listed))
+        capitals = upper(w["w"]) & (F.length(F.regexp_replace(w["w"], r"[^\p{L}]", "")) >= 2) & ~row["loud"]
+        return (F.length(w["f"]) >= least) & (~stop | capitals)
+
+    # what holds for a whole text is bound once, and a word is folded once
+    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), folded(w).alias("f")))
+    row = F.array(F.struct(pairs.alias("words"), F.coalesce(loud, F.lit(False)).alias("loud"), F.coalesce(lang, F.lit("")).alias("lang")))
+    return F.element_at(F.transform(row, lambda r: F.transform(F.filter(r["words"], lambda w: stay(r, w)), lambda w: w["f"])), 1)
 
 
 def pieces(run: Column) -> Column:

@@ -2,13 +2,17 @@
 
 A language's profile is its most frequent letter n-grams in order of frequency. A text has such an order too; its distance to
 a profile is how far its n-grams are out of place there, and a missing one is as far as can be. The nearest profile is the
-text's language. Words are counted before they are cut into n-grams.
+text's language. A text's n-grams are counted in its row, each distinct word once.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import script_language
 from ..functions.words import normal
@@ -44,22 +48,34 @@ def canonical(tag: Column) -> Column:
     return F.coalesce(F.element_at(known, first), F.when(first.rlike("^[a-z]{2,3}$"), first), F.lit(UNKNOWN))
 
 
-def grams(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, gram, n): letter n-grams of up to LONGEST letters of the words of (key, text), with marks at their ends."""
-    counted = rows.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("n"))
-    padded = F.concat(F.lit("_"), F.col("w"), F.lit("_"))
-    cut = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda k: F.transform(F.sequence(F.lit(1), F.length(padded) - k + 1), lambda i: F.substr(padded, i, k))))
-    return counted.select(key, "n", F.explode(cut).alias("gram")).filter("gram <> '_'").groupBy(key, "gram").agg(F.sum("n").alias("n"))
+@F.pandas_udf(ArrayType(StructType([StructField("gram", StringType()), StructField("n", LongType())])))
+def _counted(lists: pd.Series) -> pd.Series:
+    """n-grams of a text's words with marks at their ends, the most frequent first, then in order."""
+
+    def count(words) -> list[dict]:
+        found: Counter[str] = Counter()
+        for w, n in Counter(words if words is not None else ()).items():
+            p = f"_{w}_"
+            for k in range(1, LONGEST + 1):
+                for i in range(len(p) - k + 1):
+                    found[p[i : i + k]] += n
+        del found["_"]
+        return [{"gram": g, "n": n} for g, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+
+    return lists.map(count)
 
 
-def _ranked(counts: DataFrame, key: str, most: int) -> DataFrame:
-    order = Window.partitionBy(key).orderBy(F.col("n").desc(), "gram")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(key, "gram", "rank")
+def grams(text: str) -> Column:
+    """The letter n-grams of a text, of up to LONGEST letters, with their numbers: the most frequent first."""
+    return _counted(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
 
 
 def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = RANKS) -> DataFrame:
     """(lang, gram, rank) of all texts of each language; rows without a language are left out. Languages are few."""
-    return _ranked(grams(labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), text), "lang", text), "lang", most)
+    own = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(grams(text)).alias("g"))
+    counts = own.groupBy("lang", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
+    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("lang", "gram", "rank")
 
 
 def detected(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str = "text", most: int = RANKS) -> DataFrame:
@@ -67,15 +83,17 @@ def detected(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str
     one less its distance as a share of the largest possible. ident is distinct.
 
     A text with fewer than LEAST_GRAMS different n-grams, or none in common with any profile, gets the language of its
-    script, with confidence 0: und for Latin letters.
+    script, with confidence 0: und for Latin letters. The ranks of a text stay in its row; what a text's n-grams add up to
+    for each language is summed before it is dealt out.
     """
-    own = _ranked(grams(docs.select(ident, text), ident, text), ident, most)
-    sizes = own.groupBy(ident).agg(F.count(F.lit(1)).alias("_n"))
-    met = own.join(small(known.withColumnRenamed("rank", "_there")), "gram").groupBy(ident, "lang").agg(F.sum(F.lit(most) - F.least(F.lit(most), F.abs(F.col("rank") - F.col("_there")))).alias("_near"))
-    chosen = met.groupBy(ident).agg(F.min(F.struct((-F.col("_near")).alias("far"), "lang")).alias("_best")).select(ident, (-F.col("_best.far")).alias("_near"), F.col("_best.lang").alias("_lang"))
-    rows = docs.select(ident, script_language(F.coalesce(text, F.lit(""))).alias("_script")).join(sizes, ident, "left").join(chosen, ident, "left")
-    sure = (F.col("_n") >= LEAST_GRAMS) & (F.col("_near") > 0)
-    return rows.select(ident, F.when(sure, F.col("_lang")).otherwise(F.col("_script")).alias("language"), F.when(sure, F.col("_near") / (F.col("_n") * most)).otherwise(0.0).alias("confidence"))
+    first = F.transform(F.slice(grams(text), 1, most), lambda g: g["gram"])
+    own = docs.select(ident, script_language(F.coalesce(text, F.lit(""))).alias("_script"), first.alias("_grams"))
+    met = own.select(ident, "_script", F.size("_grams").alias("_n"), F.posexplode_outer("_grams").alias("_at", "gram")).join(small(known.withColumnRenamed("rank", "_there")), "gram", "left")
+    near = F.lit(most) - F.least(F.lit(most), F.abs(F.col("_at") + 1 - F.col("_there")))
+    summed = met.groupBy(ident, "_script", "_n", "lang").agg(F.coalesce(F.sum(near), F.lit(0)).alias("_near"))
+    best = summed.groupBy(ident, "_script", "_n").agg(F.min(F.struct((-F.col("_near")).alias("far"), F.col("lang").isNull().alias("none"), "lang")).alias("b"))
+    sure = (F.col("_n") >= LEAST_GRAMS) & (F.col("b.far") < 0)
+    return best.select(ident, F.when(sure, F.col("b.lang")).otherwise(F.col("_script")).alias("language"), F.when(sure, -F.col("b.far") / (F.col("_n") * most)).otherwise(0.0).alias("confidence"))
 
 
 def prepared(questions: DataFrame, known: DataFrame, target: Column | None = None, translations: DataFrame | None = None) -> DataFrame:
