@@ -8,11 +8,11 @@ text's language. A text's n-grams are counted in its row, each distinct word onc
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.text import script_language
 from ..functions.words import normal
@@ -20,6 +20,8 @@ from ..steps import small, step
 
 #: Ranks of a profile, and the longest n-gram; fewer different n-grams than LEAST_GRAMS tell nothing.
 RANKS, LONGEST, LEAST_GRAMS = 300, 3, 12
+#: Texts whose n-grams a task hands over at once.
+ROWS_AT_ONCE = 256
 UNKNOWN = "und"
 
 #: Two-letter codes, then three-letter codes and English names of the same language.
@@ -48,32 +50,37 @@ def canonical(tag: Column) -> Column:
     return F.coalesce(F.element_at(known, first), F.when(first.rlike("^[a-z]{2,3}$"), first), F.lit(UNKNOWN))
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("gram", StringType()), StructField("n", LongType())])))
-def _counted(lists: pd.Series) -> pd.Series:
-    """n-grams of a text's words with marks at their ends, the most frequent first, then in order."""
+def _letters(text: str) -> Column:
+    """The words of a text, runs of letters in lower case, with spaces between them."""
+    return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), " ")
 
-    def count(words) -> list[dict]:
-        found: Counter[str] = Counter()
-        for w, n in Counter(words if words is not None else ()).items():
-            p = f"_{w}_"
-            for k in range(1, LONGEST + 1):
-                for i in range(len(p) - k + 1):
-                    found[p[i : i + k]] += n
-        del found["_"]
-        return [{"gram": g, "n": n} for g, n in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
-    return lists.map(count)
-
-
-def grams(text: str) -> Column:
-    """The letter n-grams of a text, of up to LONGEST letters, with their numbers: the most frequent first."""
-    return _counted(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+def counted(letters: str) -> Counter[str]:
+    """The n-grams of up to LONGEST letters of a text's words, with marks at the words' ends."""
+    found: Counter[str] = Counter()
+    for w, n in Counter(letters.split(" ") if letters else ()).items():
+        p = f"_{w}_"
+        for k in range(1, LONGEST + 1):
+            for i in range(len(p) - k + 1):
+                found[p[i : i + k]] += n
+    del found["_"]
+    return found
 
 
 def profiles(labelled: DataFrame, lang: str = "lang", text: str = "text", most: int = RANKS) -> DataFrame:
-    """(lang, gram, rank) of all texts of each language; rows without a language are left out. Languages are few."""
-    own = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(grams(text)).alias("g"))
-    counts = own.groupBy("lang", F.col("g.gram").alias("gram")).agg(F.sum("g.n").alias("n"))
+    """(lang, gram, rank) of all texts of each language; rows without a language are left out. Languages are few, and a task
+    holds what different n-grams they have."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, Counter[str]] = {}
+        for rows in batches:
+            for own, letters in zip(rows["lang"], rows["letters"], strict=True):
+                sums.setdefault(own, Counter()).update(counted(letters))
+        for own, found in sums.items():
+            yield pd.DataFrame({"lang": own, "gram": list(found), "n": list(found.values())})
+
+    parts = labelled.filter(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), _letters(text).alias("letters")).mapInPandas(count, "lang string, gram string, n long")
+    counts = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("lang", "gram", "rank")
 
@@ -86,8 +93,16 @@ def detected(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str
     script, with confidence 0: und for Latin letters. The ranks of a text stay in its row; what a text's n-grams add up to
     for each language is summed before it is dealt out.
     """
-    first = F.transform(F.slice(grams(text), 1, most), lambda g: g["gram"])
-    own = docs.select(ident, script_language(F.coalesce(text, F.lit(""))).alias("_script"), first.alias("_grams"))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for i in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows.iloc[i : i + ROWS_AT_ONCE]
+                order = [sorted(counted(letters).items(), key=lambda x: (-x[1], x[0]))[:most] for letters in part["letters"]]
+                yield part[[ident, "_script"]].assign(_grams=[[g for g, _ in own] for own in order])
+
+    kind = docs.schema[ident].dataType.simpleString()
+    own = docs.select(ident, script_language(F.coalesce(text, F.lit(""))).alias("_script"), _letters(text).alias("letters")).mapInPandas(rank, f"`{ident}` {kind}, _script string, _grams array<string>")
     met = own.select(ident, "_script", F.size("_grams").alias("_n"), F.posexplode_outer("_grams").alias("_at", "gram")).join(small(known.withColumnRenamed("rank", "_there")), "gram", "left")
     near = F.lit(most) - F.least(F.lit(most), F.abs(F.col("_at") + 1 - F.col("_there")))
     summed = met.groupBy(ident, "_script", "_n", "lang").agg(F.coalesce(F.sum(near), F.lit(0)).alias("_near"))
