@@ -87,8 +87,7 @@ def content(words: Column, lang: Column, least: int = 1) -> Column:
     with letters or more, of which four fifths are in capitals.
     """
     upper = lambda w: (w == F.upper(w)) & (F.upper(w) != F.lower(w))
-    lettered = F.filter(words, lambda w: w.rlike(r"\p{L}"))
-    loud = (F.size(lettered) >= 4) & (F.size(F.filter(lettered, upper)) >= 0.8 * F.size(lettered))
+    loud = F.when(F.size(F.filter(words, upper)) >= 4, F.size(F.filter(words, upper)) >= 0.8 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))).otherwise(F.lit(False))
 
     def stay(row: Column, w: Column) -> Column:
         stop = F.lit(False)

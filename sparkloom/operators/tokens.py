@@ -10,6 +10,9 @@ from ..functions.stemming import stem_table
 from ..steps import small, step
 from . import segmentation
 
+#: Distinct words (two short strings each) up to which they are broadcast with their stems: about 60 MB.
+VOCABULARY = 500_000
+
 
 def tokenized(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang", least: int = 1, dictionary: DataFrame | None = None) -> DataFrame:
     """(ident, lang, tokens): the content words of each text, in order.
@@ -19,13 +22,13 @@ def tokenized(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     `dictionary` (segmentation.learned), or without one into pairs of characters. Null and empty texts have no tokens.
     """
     tagged = docs.select(ident, W.normal(F.col(text).cast("string")).alias("_text"), F.col(lang).cast("string").alias("_lang") if lang else F.lit(None).cast("string").alias("_lang"))
-    rows = tagged.select(ident, W.language_of(F.col("_text"), F.col("_lang")).alias("lang"), W.surface(F.col("_text")).alias("_words"))
+    rows = tagged.select(ident, W.language_of(F.col("_text"), F.col("_lang")).alias("lang"), W.surface(F.col("_text")).alias("_words"), F.coalesce(F.col("_text").rlike(f"[{W.CJK}]"), F.lit(False)).alias("_has"))
     is_run = lambda w: w.rlike(f"^[{W.CJK}]")
     if dictionary is None:
-        cut = F.flatten(F.transform("_words", lambda w: F.when(is_run(w), W.pieces(w)).otherwise(F.array(w))))
+        cut = F.when(F.col("_has"), F.flatten(F.transform("_words", lambda w: F.when(is_run(w), W.pieces(w)).otherwise(F.array(w))))).otherwise(F.col("_words"))
         return rows.select(ident, "lang", W.content(cut, F.col("lang"), least).alias("tokens"))
     # only texts with such runs meet the dictionary
-    has = F.exists("_words", is_run)
+    has = F.col("_has")
     mixed = step(rows.filter(has).withColumn("_row", F.monotonically_increasing_id()))
     runs = mixed.select("_row", F.posexplode("_words").alias("_at", "run"))
     cuts = small(step(segmentation.cut(segmentation.distinct_runs(runs.filter(is_run(F.col("run"))).select("run")), dictionary)))
@@ -42,7 +45,7 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 def with_stems(tokens: DataFrame, ident: str = "doc_id") -> DataFrame:
     """(ident, lang, tokens, stems) with a stem for each token, by a join with the distinct words' stems. ident is distinct."""
-    terms = small(step(vocabulary(tokens)))
+    terms = small(step(vocabulary(tokens)), VOCABULARY)
     rows = tokens.select(ident, "lang", F.posexplode("tokens").alias("at", "term")).join(terms, ["lang", "term"])
     stems = rows.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda s: s["stem"]).alias("stems"))
     return tokens.join(stems, ident, "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
