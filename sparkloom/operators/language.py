@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -55,14 +57,15 @@ def _letters(text: str) -> Column:
     return F.array_join(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), " ")
 
 
+@lru_cache(100_000)
+def _grams_of(word: str) -> list[str]:
+    p = f"_{word}_"
+    return [p[i : i + k] for k in range(1, LONGEST + 1) for i in range(len(p) - k + 1)]
+
+
 def counted(letters: str) -> Counter[str]:
     """The n-grams of up to LONGEST letters of a text's words, with marks at the words' ends."""
-    found: Counter[str] = Counter()
-    for w, n in Counter(letters.split(" ") if letters else ()).items():
-        p = f"_{w}_"
-        for k in range(1, LONGEST + 1):
-            for i in range(len(p) - k + 1):
-                found[p[i : i + k]] += n
+    found = Counter(chain.from_iterable(map(_grams_of, letters.split(" ")))) if letters else Counter()
     del found["_"]
     return found
 
@@ -98,8 +101,8 @@ def detected(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str
         for rows in batches:
             for i in range(0, len(rows), ROWS_AT_ONCE):
                 part = rows.iloc[i : i + ROWS_AT_ONCE]
-                order = [sorted(counted(letters).items(), key=lambda x: (-x[1], x[0]))[:most] for letters in part["letters"]]
-                yield part[[ident, "_script"]].assign(_grams=[[g for g, _ in own] for own in order])
+                # in order of the n-gram, then, which keeps that order, the most frequent first
+                yield part[[ident, "_script"]].assign(_grams=[sorted(sorted(own), key=own.get, reverse=True)[:most] for own in map(counted, part["letters"])])
 
     kind = docs.schema[ident].dataType.simpleString()
     own = docs.select(ident, script_language(F.coalesce(text, F.lit(""))).alias("_script"), _letters(text).alias("letters")).mapInPandas(rank, f"`{ident}` {kind}, _script string, _grams array<string>")
