@@ -48,11 +48,23 @@ def forest(adjacent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _within(judge: Judge, rows: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    adjacent = np.zeros((rows.shape[1],) * 2, bool)
-    for i in range(0, rows.shape[1], STRIPE):
-        adjacent[i : i + STRIPE] = judge(rows[:, i : i + STRIPE, None], rows[:, None, :], key)
-    for parents, children in forest(adjacent):
-        yield rows[0, parents], rows[0, children]
+    """A breadth-first forest, in which rows that have joined are compared only with those that have not: where most rows
+    are linked with the first of them, that is far from all pairs."""
+    left = np.arange(rows.shape[1])
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            parents, start, stripe = np.full(len(left), -1), 0, 1
+            while start < len(front) and len(still := np.flatnonzero(parents < 0)):
+                some = front[start : start + stripe]
+                ok = judge(rows[:, some, None], rows[:, None, left[still]], key)
+                found = ok.any(0)
+                parents[still[found]] = some[ok.argmax(0)[found]]
+                start, stripe = start + stripe, min(2 * stripe, STRIPE)
+            joined = parents >= 0
+            if joined.any():
+                yield rows[0, parents[joined]], rows[0, left[joined]]
+            front, left = left[joined], left[~joined]
 
 
 def _of_keys(judge: Judge, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,8 +171,9 @@ def _of_groups(judge: Judge, groups: DataFrame, more: list[str]) -> DataFrame:
 def links_within_keys(rows: DataFrame, judge: Judge, block: int) -> DataFrame:
     """A table (a, b) of links between nodes of `rows` (key, node, further numbers; all long) which share a key and which
     `judge` links; it keeps every connection of the graph of all such pairs. No task holds more than two blocks of a key."""
-    more = [c for c in rows.columns if c not in ("key", "node")]
-    dealt = rows.select("key", "node", *more).repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
+    further = [c for c in rows.columns if c not in ("key", "node")]
+    more = [f"_{i}" for i in range(len(further))]  # by position, so that none clashes with a column made here
+    dealt = rows.select("key", "node", *(F.col(c).alias(name) for c, name in zip(further, more, strict=True))).repartition(shuffle_partitions(rows.sparkSession), "key").sortWithinPartitions("key", "node")
     schema = ", ".join(f"{c} long" for c in ("a", "b", "block", "blocks", *more))
     found = Written(dealt.mapInArrow(_compare(judge, block, 2 + len(more)), schema)).df
     own = found.filter("block = -1").select("a", "b").distinct()

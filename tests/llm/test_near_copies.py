@@ -83,6 +83,27 @@ def test_large_tables_joins(spark, monkeypatch):
     assert got == plain_stay(rows)
 
 
+def test_more_rows_of_a_key_than_a_block(spark, monkeypatch):
+    """As in large groups of near copies: a key's rows are compared block by block."""
+    monkeypatch.setattr(near_copies, "KEY_BLOCK", 6)
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()}
+    assert got == plain_stay(rows)
+
+
+def test_rows_that_joined_are_not_compared_again():
+    rows, pairs = np.stack([np.arange(2000), np.arange(2000) % 3]), []
+
+    def judge(x, y, key):
+        pairs.append(np.broadcast(x[0], y[0]).size)
+        return (x[1] == y[1]) & (x[0] != y[0])
+
+    links = [(a, b) for parents, children in keyed._within(judge, rows, 1) for a, b in zip(parents, children, strict=True)]
+    assert len(links) == 1997 and all(a % 3 == b % 3 for a, b in links)
+    assert sum(pairs) < 2000**2 / 2
+
+
 def test_links_come_through_the_chains(spark, monkeypatch):
     """With no budget nothing is linked, and the stage drops nothing but copies."""
     rows = [r for r in texts() if r[0] < 2000]
