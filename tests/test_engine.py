@@ -72,6 +72,20 @@ def test_fusion_ties_go_by_text(spark):
     assert {r["ranker"] for r in ranking.without_flat(flat, ["q"]).collect()} == {"b"}
 
 
+def test_pairs_are_counted_before_they_are_dealt_out(spark, monkeypatch):
+    """As many rows as a batch has pairs of terms, not as many as its windows have."""
+    monkeypatch.setattr(features, "WINDOWS_AT_ONCE", 7)
+    docs = [(i % 2, [f"w{(i * i + 3 * j * j + j) % 6}" for j in range(i % 23)]) for i in range(60)] + [(1, None), (None, ["a", "b"])]
+    want = {}
+    for shard, words in docs:
+        for i in range(len(words or []) if shard is not None else 0):
+            own = sorted(set(words[i : i + 5]))
+            for pair in ((shard, a, b) for k, a in enumerate(own) for b in own[k + 1 :]):
+                want[pair] = want.get(pair, 0) + 1
+    rows = features._pairs_in_windows(spark.createDataFrame(docs, "shard_id int, words array<string>").coalesce(1), 5).collect()
+    assert {(r["shard_id"], r["a"], r["b"]): r["n"] for r in rows} == want and len(rows) == len(want)
+
+
 def test_term_graph_by_hand(spark):
     docs = spark.createDataFrame([(0, ["a", "b", "a", "c"]), (0, ["b"]), (0, [])], "shard_id int, words array<string>")
     got = {(r["src"], r["dst"]): r["cnt"] for r in features.term_graph(docs, window=3, least=1).collect()}
