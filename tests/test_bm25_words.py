@@ -15,6 +15,31 @@ def test_words_and_postings_agree(spark):
     assert bm25.scores_of_words(docs.limit(0), asked).count() == 0
 
 
+def test_blocks_and_words_agree(spark, monkeypatch):
+    """Blocks of a few rows: all pairs, and the best of each shard with those that tie; pairs are not shuffled."""
+    monkeypatch.setattr(bm25, "DOC_BLOCK", 3)
+    monkeypatch.setattr(bm25, "QUESTION_BLOCK", 2)
+    rows = [(i % 3, i, [f"w{(i * j + j * j) % 11}" for j in range(i % 9)]) for i in range(40)] + [(7, 4, ["w1", "w2"]), (7, 50, None)]
+    docs = spark.createDataFrame(rows, "shard_id int, doc_id long, words array<string>")
+    asked = spark.createDataFrame([(q, f"w{(q + k) % 12}", 1.0 + k) for q in range(7) for k in range(4)] + [(9, "zzz", 1.0)], "query_id long, term string, weight double")
+    want = {tuple(r)[:3]: r["score"] for r in bm25.scores_of_words(docs, asked).collect()}
+    every = bm25.scores_in_blocks(docs, asked)
+    best = {}
+    for (q, _, i), score in want.items():
+        most, n = best.get((q, i), (0, 0))
+        best[q, i] = max(most, score), n + 1
+    got = {(r["query_id"], r["doc_id"]): (r["score"], r["shards"]) for r in every.collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in best.items()}
+    assert {k: s for k, (s, _) in got.items()} == pytest.approx({k: s for k, (s, _) in best.items()})
+    some = {tuple(r)[:3]: r["score"] for r in bm25.scores_in_blocks(docs, asked, 2, among_rows=True).collect()}
+    for q in range(7):
+        for shard in (0, 1, 2, 7):
+            own = sorted((-round(s, 9), i) for (x, y, i), s in want.items() if (x, y) == (q, shard) and i != q)[:2]
+            assert all((q, shard, i) in some for _, i in own)
+    assert some == pytest.approx({k: want[k] for k in some}) and all(q != i for q, _, i in some)
+    assert bm25.scores_in_blocks(docs.limit(0), asked).count() == 0
+
+
 def test_spread_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "rows.parquet")
     spark.range(500).coalesce(1).write.parquet(path)
