@@ -16,6 +16,8 @@ from .text import STOPWORDS, script_language
 HAN, HIRAGANA, KATAKANA = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}", r"\x{3040}-\x{309F}", r"\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}"
 CJK = HAN + HIRAGANA + KATAKANA
 WORD = rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
+#: Texts of Latin, Greek and Cyrillic letters and common marks hold no Han or kana: their words are found by a shorter pattern.
+PLAIN, PLAIN_WORD = r"\A[\x00-\x{52F}\x{2010}-\x{2027}\x{20AC}]*\z", r"[\p{L}\p{N}]+"
 #: Characters that NFKC leaves as they are, and that do not join one another: ASCII, most of Latin-1, Cyrillic, common marks,
 #: Han, kana without sound marks.
 SETTLED = r"[\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF\x{410}-\x{44F}\x{2013}\x{2014}\x{2018}-\x{201E}\x{3001}\x{3002}\x{4E00}-\x{9FFF}\x{3041}-\x{3096}\x{30A1}-\x{30FA}]*"
@@ -72,7 +74,8 @@ def language_of(text: Column, lang: Column) -> Column:
 
 def surface(c: Column) -> Column:
     """Runs of Han and kana, and runs of other letters and digits, in order and in their own case."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
+    text = F.coalesce(c, F.lit(""))
+    return F.when(text.rlike(PLAIN), F.regexp_extract_all(text, F.lit(PLAIN_WORD), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
 def folded(word: Column) -> Column:
@@ -80,26 +83,35 @@ def folded(word: Column) -> Column:
     return F.translate(F.replace(F.lower(word), F.lit("ß"), F.lit("ss")), "ς", "σ")
 
 
+def _upper(word: Column) -> Column:
+    return (word == F.upper(word)) & (F.upper(word) != F.lower(word))
+
+
+def loud(words: Column) -> Column:
+    """Whether words are mostly in capitals: four words with letters or more, of which four fifths are in capitals."""
+    n = F.size(F.filter(words, _upper))
+    return F.coalesce(F.when(n >= 4, n >= 0.8 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))), F.lit(False))
+
+
+def stays(word: Column, fold: Column, lang: Column, loud: Column, least: int = 1) -> Column:
+    """Whether a word, folded to `fold`, is content in a text of the language."""
+    stop = F.lit(False)
+    for name, listed in stopwords().items():
+        stop = stop | ((lang == name) & fold.isin(*listed))
+    capitals = _upper(word) & (F.length(F.regexp_replace(word, r"[^\p{L}]", "")) >= 2) & ~loud
+    return (F.length(fold) >= least) & (~stop | capitals)
+
+
 def content(words: Column, lang: Column, least: int = 1) -> Column:
     """The words folded, without function words of the language and words of fewer than `least` characters.
 
     A word of two letters or more, all capitals, is no function word, unless the words are mostly in capitals: four words
     with letters or more, of which four fifths are in capitals.
     """
-    upper = lambda w: (w == F.upper(w)) & (F.upper(w) != F.lower(w))
-    loud = F.when(F.size(F.filter(words, upper)) >= 4, F.size(F.filter(words, upper)) >= 0.8 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}")))).otherwise(F.lit(False))
-
-    def stay(row: Column, w: Column) -> Column:
-        stop = F.lit(False)
-        for name, listed in stopwords().items():
-            stop = stop | ((row["lang"] == name) & w["f"].isin(*listed))
-        capitals = upper(w["w"]) & (F.length(F.regexp_replace(w["w"], r"[^\p{L}]", "")) >= 2) & ~row["loud"]
-        return (F.length(w["f"]) >= least) & (~stop | capitals)
-
     # what holds for a whole text is bound once, and a word is folded once
     pairs = F.transform(words, lambda w: F.struct(w.alias("w"), folded(w).alias("f")))
-    row = F.array(F.struct(pairs.alias("words"), F.coalesce(loud, F.lit(False)).alias("loud"), F.coalesce(lang, F.lit("")).alias("lang")))
-    return F.element_at(F.transform(row, lambda r: F.transform(F.filter(r["words"], lambda w: stay(r, w)), lambda w: w["f"])), 1)
+    row = F.array(F.struct(pairs.alias("words"), loud(words).alias("loud"), F.coalesce(lang, F.lit("")).alias("lang")))
+    return F.element_at(F.transform(row, lambda r: F.transform(F.filter(r["words"], lambda w: stays(w["w"], w["f"], r["lang"], r["loud"], least)), lambda w: w["f"])), 1)
 
 
 def pieces(run: Column) -> Column:

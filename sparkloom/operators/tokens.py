@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
@@ -21,23 +21,44 @@ def tokenized(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
     "und", the script decides, and texts in other scripts are "und" and keep all words. Runs of Han and kana are cut by
     `dictionary` (segmentation.learned), or without one into pairs of characters. Null and empty texts have no tokens.
     """
-    tagged = docs.select(ident, W.normal(F.col(text).cast("string")).alias("_text"), F.col(lang).cast("string").alias("_lang") if lang else F.lit(None).cast("string").alias("_lang"))
-    rows = tagged.select(ident, W.language_of(F.col("_text"), F.col("_lang")).alias("lang"), W.surface(F.col("_text")).alias("_words"), F.coalesce(F.col("_text").rlike(f"[{W.CJK}]"), F.lit(False)).alias("_has"))
-    is_run = lambda w: w.rlike(f"^[{W.CJK}]")
+    rows = _surfaces(docs, [ident], text, lang)
     if dictionary is None:
-        cut = F.when(F.col("_has"), F.flatten(F.transform("_words", lambda w: F.when(is_run(w), W.pieces(w)).otherwise(F.array(w))))).otherwise(F.col("_words"))
-        return rows.select(ident, "lang", W.content(cut, F.col("lang"), least).alias("tokens"))
+        return rows.select(ident, "lang", W.content(_in_pieces(), F.col("lang"), least).alias("tokens"))
     # only texts with such runs meet the dictionary
     has = F.col("_has")
     mixed = step(rows.filter(has).withColumn("_row", F.monotonically_increasing_id()))
     runs = mixed.select("_row", F.posexplode("_words").alias("_at", "run"))
-    cuts = small(step(segmentation.cut(segmentation.distinct_runs(runs.filter(is_run(F.col("run"))).select("run")), dictionary)))
+    cuts = small(step(segmentation.cut(segmentation.distinct_runs(runs.filter(_is_run(F.col("run"))).select("run")), dictionary)))
     placed = runs.join(cuts, "run", "left").withColumn("pieces", F.coalesce("pieces", F.array("run")))
     whole = placed.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_at", "pieces"))), lambda s: s["pieces"])).alias("_cut"))
     joined = mixed.join(whole, "_row").select(ident, "lang", W.content(F.col("_cut"), F.col("lang"), least).alias("tokens"))
     return rows.filter(~has).select(ident, "lang", W.content(F.col("_words"), F.col("lang"), least).alias("tokens")).unionByName(joined)
 
 
+def _surfaces(docs: DataFrame, keys: list[str], text: str, lang: str | None) -> DataFrame:
+    """(keys, lang, _words, _has): words as they are written, and whether runs of Han or kana are among them."""
+    tagged = docs.select(*keys, W.normal(F.col(text).cast("string")).alias("_text"), F.col(lang).cast("string").alias("_lang") if lang else F.lit(None).cast("string").alias("_lang"))
+    has = F.when(F.col("_text").rlike(W.PLAIN), F.lit(False)).otherwise(F.coalesce(F.col("_text").rlike(f"[{W.CJK}]"), F.lit(False)))
+    return tagged.select(*keys, W.language_of(F.col("_text"), F.col("_lang")).alias("lang"), W.surface(F.col("_text")).alias("_words"), has.alias("_has"))
+
+
+def _is_run(word: Column) -> Column:
+    return word.rlike(f"^[{W.CJK}]")
+
+
+def _in_pieces() -> Column:
+    return F.when(F.col("_has"), F.flatten(F.transform("_words", lambda w: F.when(_is_run(w), W.pieces(w)).otherwise(F.array(w))))).otherwise(F.col("_words"))
+
+
+def counted(docs: DataFrame, text: str = "text", lang: str | None = "lang", least: int = 1) -> DataFrame:
+    """(lang, term, n): how often tokenized (without a dictionary) has each token in all texts of a language. Words are counted as
+    they are written, and each distinct one is folded and looked up once."""
+    rows = _surfaces(docs, [], text, lang).select("lang", _in_pieces().alias("_words"))
+    written = rows.select("lang", W.loud(F.col("_words")).alias("_loud"), F.explode("_words").alias("_w")).groupBy("lang", "_loud", "_w").agg(F.count(F.lit(1)).alias("n"))
+    folded = written.select("lang", "_loud", "_w", W.folded(F.col("_w")).alias("term"), "n").filter(W.stays(F.col("_w"), F.col("term"), F.coalesce("lang", F.lit("")), F.col("_loud"), least))
+    return folded.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(lang, term, stem) of the distinct tokens of (lang, tokens)."""
     return stem_table(tokens.select("lang", F.explode("tokens").alias("term")).distinct())
