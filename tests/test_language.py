@@ -44,6 +44,39 @@ def test_detection(spark, known):
     assert got[1][1] == pytest.approx(near["en"] / (300 * len(of))) and near["en"] == max(near.values())
 
 
+ODD = ["", "a", "aa", "a b", "ab ba ab", "ß straße", "漢字 かな 漢字漢字", "𐐨𐐩 x𐐨", "žluťoučký kůň ů", "é e\u0301 é", "λόγος λόγοσ", "la la la le " * 40, " ".join(chr(97 + i % 26) * (i % 7 + 1) for i in range(300))]
+
+
+def test_ranked_grams_are_those_of_a_plain_count(spark):
+    for most in (5, 300, 10_000):
+        for text in ODD:
+            letters = spark.createDataFrame([(text,)], "text string").select(language._letters("text")).first()[0]
+            grams = [language._gram(x) for x in language.ranked(letters, most).tolist()]
+            assert grams == list(plain(letters, most)) and [language._number(g) for g in grams] == language.ranked(letters, most).tolist()
+
+
+def test_texts_meet_profiles_in_their_rows(spark, known, monkeypatch):
+    """N-grams are not rows of a join, and profiles too many to be broadcast give the same."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS.values(), *ODD, None, "animals", "12 die", "les, der THE"])], "doc_id long, text string")
+    found = language.detected(docs, known)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and "Exchange" not in plan
+    want = sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(language, "FEW", 1)
+    joined = language.detected(docs, known)
+    assert "Generate" in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in joined.collect()) == want and len(want) == docs.count()
+    assert [r[1] for r in want[:3]] == list(TEXTS)
+
+
+def test_profiles_are_summed_over_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "COUNTS_AT_ONCE", 10)
+    rows = [(lang, part) for lang, text in TEXTS.items() for part in (text[:50], text[50:], "")] + [("xx", None), (None, "nothing")]
+    got = {(r["lang"], r["gram"]): r["rank"] for r in language.profiles(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    want = {(lang, g): r for lang, text in TEXTS.items() for g, r in plain(f"{text[:50]} {text[50:]}").items()}
+    assert got == want
+
+
 def test_questions_are_made_ready(spark, known):
     rows = [(1, "the animals of the forest were sleeping", "de-DE"), (2, "die tiere des waldes schliefen dort", "de"), (3, None, "de"), (4, "the other animals of the forest", "fr"), (5, "the other animals of the forest", None)]
     asked = spark.createDataFrame(rows, "query_id long, question string, want string")
