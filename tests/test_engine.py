@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,41 @@ def test_arrow_functions(spark):
     assert one(spark, arrow.hash_embedding(F.col("a"), 8), a=[]) == [0.0] * 8
 
 
+def plain_embedding(words, dims):
+    v = np.zeros(dims)
+    for w in words or ():
+        for feature in (w, *(f"#{w}#"[i : i + 3] for i in range(len(w)))):
+            n = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+            v[n % dims] += -1.0 if n >> 63 else 1.0
+    n = np.linalg.norm(v)
+    return (v / n if n else v).astype(np.float32).tolist()
+
+
+def test_a_word_is_embedded_once(spark, monkeypatch):
+    rows = [["gene", "therapy", "gene"], [], None, ["a"], ["\u00e9", "\U00010428\U00010429x", "", "#", "a##b"], ["x" * 500, "gene"], ["w%d" % (i * i % 97) for i in range(300)], ["therapy"]] * 3
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a array<string>").coalesce(1)
+    want = [plain_embedding(r, 16) for r in rows]
+    for at_once, possible in ((7, 4_000_000), (300_000, 4_000_000), (300_000, 0)):
+        monkeypatch.setattr(arrow, "LETTERS_AT_ONCE", at_once, raising=False)
+        monkeypatch.setattr(arrow, "POSSIBLE", possible, raising=False)
+        assert [r["v"] for r in docs.select("i", arrow.hash_embedding(F.col("a"), 16).alias("v")).orderBy("i").collect()] == want
+
+
+def test_a_feature_is_looked_up_once_a_block(monkeypatch):
+    """400,000 places of 50 words: before, each place's word and trigrams were looked up in Python."""
+    import sys
+
+    many, calls, embedded = pa.array([[f"w{i % 50}" for i in range(2000)]] * 200), [0], []
+    for name in ("arrow_udf", "pandas_udf"):
+        monkeypatch.setattr(F, name, lambda kind: lambda run: lambda words: embedded.append(run(words)))
+    sys.setprofile(lambda frame, event, _: calls.__setitem__(0, calls[0] + (event == "call")))
+    try:
+        arrow.hash_embedding(many, 16)
+    finally:
+        sys.setprofile(None)
+    assert len(embedded[0]) == 200 and embedded[0][199].as_py() == plain_embedding(many[0].as_py(), 16) and calls[0] < 100_000
+
+
 def test_quantising(spark):
     df = spark.createDataFrame([([0.5, -1.0, 0.0039],)], "v array<double>")
     q = df.select(vectors.quantised(F.col("v"), F.lit(1 / 127)).alias("q")).first()["q"]
