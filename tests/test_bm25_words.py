@@ -2,6 +2,7 @@
 
 import pytest
 
+from sparkloom import steps
 from sparkloom.operators import bm25
 from sparkloom.steps import spread
 
@@ -51,3 +52,19 @@ def test_spread_keeps_rows(spark, tmp_path):
         assert "Exchange" not in spread(spark.read.parquet(path))._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_spread_deals_out_by_size(spark, tmp_path, monkeypatch):
+    """A task's share does not grow with a table that the session counts as small."""
+    path = str(tmp_path / "rows.parquet")
+    spark.range(50_000).coalesce(1).write.parquet(path)
+    monkeypatch.setattr(steps, "SHARE", 10_000, raising=False)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")
+    try:
+        rows = spark.read.parquet(path)
+        size = sum(p.stat().st_size for p in (tmp_path / "rows.parquet").glob("*.parquet"))
+        few = spread(rows)
+        assert few.rdd.getNumPartitions() == -(-size // 10_000) > spark.sparkContext.defaultParallelism
+        assert few.count() == few.distinct().count() == 50_000
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
