@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.stemming import stem_table
+from ..functions.stemming import stem_table, stemmed
 from ..steps import small, step
 from . import segmentation
 
-#: Distinct words (two short strings each) up to which they are broadcast with their stems: about 60 MB.
-VOCABULARY = 500_000
-
 
 def tokenized(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang", least: int = 1, dictionary: DataFrame | None = None) -> DataFrame:
     """(ident, lang, tokens): the content words of each text, in order.
@@ -52,24 +53,36 @@ def _in_pieces() -> Column:
 
 def counted(docs: DataFrame, text: str = "text", lang: str | None = "lang", least: int = 1) -> DataFrame:
     """(lang, term, n): how often tokenized (without a dictionary) has each token in all texts of a language. Words are counted as
-    they are written, and each distinct one is folded and looked up once."""
+    they are written, block by block before they are dealt out, and each distinct one is folded and looked up once."""
     rows = _surfaces(docs, [], text, lang).select("lang", _in_pieces().alias("_words"))
-    written = rows.select("lang", W.loud(F.col("_words")).alias("_loud"), F.explode("_words").alias("_w")).groupBy("lang", "_loud", "_w").agg(F.count(F.lit(1)).alias("n"))
+    # whether a text is loud is settled in its row: after an explode Spark would ask it of the whole text for every word
+    written = rows.select("lang", W.loud(F.col("_words")).alias("_loud"), "_words").mapInArrow(_written, "lang string, _loud boolean, _w string, n long")
+    written = written.groupBy("lang", "_loud", "_w").agg(F.sum("n").alias("n"))
     folded = written.select("lang", "_loud", "_w", W.folded(F.col("_w")).alias("term"), "n").filter(W.stays(F.col("_w"), F.col("term"), F.coalesce("lang", F.lit("")), F.col("_loud"), least))
     return folded.groupBy("lang", "term").agg(F.sum("n").alias("n"))
 
 
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, _loud, _w, n) of the words of a block's (lang, _loud, _words)."""
+    for batch in batches:
+        lang, loud, words = batch.columns
+        sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        langs, coded = lang.dictionary_encode(null_encoding="encode"), words.flatten().dictionary_encode()
+        own = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + loud.to_numpy(zero_copy_only=False)
+        many = max(1, len(coded.dictionary))
+        keys, n = np.unique(np.repeat(own, sizes) * many + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        of, word = np.divmod(keys, many)
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(of // 2)), pa.array(of % 2 == 1), coded.dictionary.take(pa.array(word)), pa.array(n)], names=["lang", "_loud", "_w", "n"])
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     """(lang, term, stem) of the distinct tokens of (lang, tokens)."""
     return stem_table(tokens.select("lang", F.explode("tokens").alias("term")).distinct())
 
 
 def with_stems(tokens: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """(ident, lang, tokens, stems) with a stem for each token, by a join with the distinct words' stems. ident is distinct."""
-    terms = small(step(vocabulary(tokens)), VOCABULARY)
-    rows = tokens.select(ident, "lang", F.posexplode("tokens").alias("at", "term")).join(terms, ["lang", "term"])
-    stems = rows.groupBy(ident).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda s: s["stem"]).alias("stems"))
-    return tokens.join(stems, ident, "left").withColumn("stems", F.coalesce("stems", F.array().cast("array<string>")))
+    """(ident, lang, tokens, stems) with a stem for each token, which is found in its row."""
+    return tokens.select(ident, "lang", "tokens", F.coalesce(stemmed(F.col("tokens"), F.col("lang")), F.array().cast("array<string>")).alias("stems"))
 
 
 def question_stems(questions: DataFrame, lang: str = "en", text: str = "question") -> DataFrame:
